@@ -26,7 +26,8 @@ from .automaton import Dfa
 class Rule:
     """A match is ``head`` then ``value``, leftmost and longest; it counts if
     ``value`` has at least ``least`` bytes. ``scan`` must match within each
-    match that counts."""
+    match that counts; counts in it multiply the automaton's states, so only
+    the one that would accept nearly everywhere has one."""
 
     kind: str
     head: str
@@ -38,8 +39,8 @@ class Rule:
 _HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 _VALUE = r"[A-Za-z0-9+/_.=\-]"
 BASE = (
-    Rule("assign", _HEAD, _VALUE + "+", 12, _HEAD + _VALUE + "{12,}"),
-    Rule("access", "", "AKIA[A-Z0-9]+", 18, "AKIA[A-Z0-9]{14,}"),
+    Rule("assign", _HEAD, _VALUE + "+", 12, _HEAD + _VALUE),
+    Rule("access", "", "AKIA[A-Z0-9]+", 18, "AKIA[A-Z0-9]"),
     Rule("hex", "", "[0-9a-f]+", 16, "[0-9a-f]{16,}"),
 )
 #: Public token formats, beside the base rules.
@@ -138,12 +139,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
     schema = T.StructType([*docs.schema.fields, T.StructField("secrets", T._parse_datatype_string(kinds))])
     of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    scan = docs.sparkSession.sparkContext.broadcast(scanner(rules))  # its size depends on the rules alone
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner(rules)
         for batch in batches:
             for a in range(0, len(batch), 1000):
                 part = batch.slice(a, 1000)
-                found = scan.batch(part.column("text").to_pylist())
+                found = scan.value.batch(part.column("text").to_pylist())
                 rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, e, k in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, of)], names=schema.names)
 
