@@ -1,0 +1,10 @@
+def entry(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
