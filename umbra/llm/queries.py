@@ -44,12 +44,32 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(many(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("secrets")).alias("spans"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
 def queries() -> dict:
-    return {"op1_lines": op1_lines, "op3_quality": op3_quality, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
+    return {"op1_lines": op1_lines, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op8_neighbours": op8_neighbours, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": OP1}
+    return {"op1_lines": OP1, "op5_topk": OP5}
 
 
 #: White space at a line's ends is trimmed as the bytes 9 to 13 and 32; A-Z only are lowered.
@@ -64,3 +84,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM h
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (SELECT k FROM hot)), '')) AS kept_sha256
 FROM lines GROUP BY doc_id
 """
+
+OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+WHERE rank <= 5
+"""
