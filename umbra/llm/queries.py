@@ -26,6 +26,12 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, held_out, score
 
@@ -57,6 +63,22 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, max_repeats=4.0).select("doc_id", "source", "tokens", "copy", "place")
+
+
+def op7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .counts import document_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return document_tokens(docs, str(public_tokenizers.path("byte_bpe_50k.json")), end_id=50256).select("doc_id", "n_tokens", "start")
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import neighbours
 
@@ -65,7 +87,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_lines": op1_lines, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op8_neighbours": op8_neighbours, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
+    return {"op1_lines": op1_lines, "op2_warc": op2_warc, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_counts": op7_counts, "op8_neighbours": op8_neighbours, "op9_secrets": op9_secrets, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:

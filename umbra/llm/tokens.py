@@ -24,14 +24,14 @@ class Ids:
 
     A byte-level BPE file is read into a faster public encoder with the same
     ids; other files, and texts that hold a special token's string, go through
-    the tokenizers library itself.
+    the tokenizers library itself. ``ordinary``: such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, self.hf, self.plain = path, None, None
+        self.path, self.hf, self.plain, self.ordinary = path, None, None, ordinary
         self.specials = [x["content"] for x in spec.get("added_tokens") or []]
         split, model = spec.get("pre_tokenizer") or {}, spec["model"]
         ids = [*model["vocab"].values(), *(x["id"] for x in spec.get("added_tokens") or [])]
@@ -47,10 +47,11 @@ class Ids:
         """The ids of one text; null and empty have none."""
         if not text:
             return np.zeros(0, self.dtype)
-        if self.plain is not None and not any(s in text for s in self.specials):
+        if self.plain is not None and (self.ordinary or not any(s in text for s in self.specials)):
             return np.array(self.plain(text), self.dtype)
         if self.hf is None:
             from tokenizers import Tokenizer
 
             self.hf = Tokenizer.from_file(self.path)
+            self.hf.encode_special_tokens = self.ordinary
         return np.array(self.hf.encode(text, add_special_tokens=False).ids, self.dtype)
