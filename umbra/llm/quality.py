@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shingles import mix64, word_hashes
+from .shingles import mix64, slices, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "spaces", "line_ends", "commas", "stops", "exclaims", "bars", "symbols", "brackets", "quotes",
@@ -137,7 +137,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate:
 
 def _measured(schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = statistics(batch.column("text"))
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
             keep = [batch.column(n) for n in schema.names[:-1]]
@@ -176,7 +176,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             p = trees.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)
 

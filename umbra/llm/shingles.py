@@ -7,8 +7,11 @@ random odd factor per place in the word) and combined four at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _U = np.uint64
 
@@ -40,6 +43,17 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
+def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of text, as hashing takes some
+    tens of bytes for each; a longer text is a part alone."""
+    size = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a batch; null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
