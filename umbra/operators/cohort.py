@@ -66,13 +66,16 @@ def fits(names: Column, k: int) -> Column:
     return ~F.exists(names, lambda x: (k - 1) * F.size(F.filter(names, lambda y: kind_of(y) == kind_of(x))) > POOL)
 
 
+def _first(names: Column, kind: str) -> Column:
+    return F.get(F.filter(names, lambda x: kind_of(x) == kind), F.lit(0))
+
+
 def _decoy(profile_: Column, j: Column, names: Column) -> Column:
     out = F.lit(None).cast("string")
     for key, rows in DECOYS.items():
         template = F.element_at(F.array(*(F.lit(r) for r in rows)), (j % len(rows)).cast("int") + 1)
         for kind in key.split("|"):
-            name = F.get(F.filter(names, lambda x, kind=kind: kind_of(x) == kind), F.lit(0))
-            template = F.replace(template, F.lit("{" + kind + "}"), name)
+            template = F.replace(template, F.lit("{" + kind + "}"), _first(names, kind))
         out = F.when(profile_ == key, template).otherwise(out)
     return out
 

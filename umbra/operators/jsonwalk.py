@@ -26,7 +26,6 @@ def walk(value, put, pointer: str = "", depth: int = 0):
     return value
 
 
-@F.pandas_udf(LEAF)
 def _leaves(docs: pd.Series) -> pd.Series:
     out = []
     for doc in docs:
@@ -39,7 +38,6 @@ def _leaves(docs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
 def _rebuilt(docs: pd.Series, texts: pd.Series) -> pd.Series:
     out = []
     for doc, row in zip(docs, texts, strict=True):
@@ -53,9 +51,9 @@ def _rebuilt(docs: pd.Series, texts: pd.Series) -> pd.Series:
 
 def leaves(doc: Column) -> Column:
     """pointer and text of each string leaf in visiting order; bad JSON has none."""
-    return _leaves(doc)
+    return F.pandas_udf(_leaves, LEAF)(doc)
 
 
 def rebuild(doc: Column, texts: Column) -> Column:
     """The document with its leaves replaced in visiting order."""
-    return _rebuilt(doc, texts)
+    return F.pandas_udf(_rebuilt, "string")(doc, texts)

@@ -1,10 +1,381 @@
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+"""Queries over the driver's tables, each with its SQL twin where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import kinds
+from ..functions.keywords import PRIVATE, SECRET
+from ..functions.patterns import ENV, KEYS, SPANS
+from ..operators import audit, cohort, convo, detect, entities, jsonwalk, metrics, rewrite, tiers
+from .fixtures import PROMPTS, REPLIES, prompts, replies, table
 
-def oracle_sql():
-    return {}
+_QUERIES, _SQL = {}, {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_FOUND = f"""prompts AS ({PROMPTS}),
+pats(kind, ord, pat) AS (VALUES {", ".join(f"({_q(k)}, {i}, {_q(p)})" for i, (k, p) in enumerate(SPANS))}),
+hits AS (SELECT session_id, seq, kind, ord, regexp_extract_all(text, pat) AS m, regexp_split_to_array(text, pat) AS g FROM prompts, pats),
+each AS (SELECT session_id, seq, kind, ord, m, g, unnest(range(1, len(m) + 1)) AS i FROM hits),
+raw AS (SELECT session_id, seq, kind, ord, m[i] AS text,
+  CAST(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: strlen(x))), 0) AS INT) AS s FROM each),
+ranged AS (SELECT *, s + CAST(strlen(text) AS INT) AS e FROM raw),
+spans AS (SELECT session_id, seq, kind, text, s, e FROM ranged a WHERE NOT EXISTS (SELECT 1 FROM ranged b
+  WHERE a.session_id = b.session_id AND a.seq = b.seq AND b.s < a.e AND a.s < b.e AND (b.s < a.s OR b.s = a.s AND (b.e > a.e OR b.e = a.e AND b.ord < a.ord))))"""
+_MINTED = f"""{_FOUND},
+firsts AS (SELECT session_id, text AS norm, arg_min(kind, seq * 1000000 + s) AS kind, min(seq * 1000000 + s) AS seen FROM spans GROUP BY ALL),
+entities AS (SELECT session_id, norm, kind, norm AS canonical, CAST(row_number() OVER (PARTITION BY session_id, kind ORDER BY seen) AS INT) AS n FROM firsts),
+minted AS (SELECT *, kind || '_' || CAST(n AS STRING) AS pseudonym FROM entities)"""
+_REPLIES = f"{_MINTED}, replies AS ({REPLIES})"
+
+
+def _spans(spark, d) -> DataFrame:
+    return prompts(spark, d).withColumn("spans", detect.detect(F.col("text")))
+
+
+def _minted(spark, d) -> DataFrame:
+    return entities.mint(entities.explode_spans(_spans(spark, d)))
+
+
+def _safe(spark, d) -> DataFrame:
+    rows = _spans(spark, d)
+    return rewrite.pseudonymise(rows, entities.mint(entities.explode_spans(rows)))
+
+
+@_query(f"WITH {_FOUND} SELECT session_id, seq, kind, text, s AS \"start\", e AS \"end\" FROM spans")
+def detect_spans_resolved(spark, d):
+    return _spans(spark, d).select("session_id", "seq", F.explode("spans").alias("x")).select("session_id", "seq", "x.kind", "x.text", "x.start", "x.end")
+
+
+@_query(f"WITH {_FOUND} SELECT kind, count(*) AS n FROM spans GROUP BY kind")
+def detect_kind_counts(spark, d):
+    return detect_spans_resolved(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT doc_id, unnest(regexp_extract_all(text, {_q(dict(SPANS)['EMAIL'])})) AS email FROM documents WHERE text LIKE '%@%'")
+def detect_spans_email(spark, d):
+    docs = table(spark, d, "documents").filter(F.contains("text", F.lit("@")))
+    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?U)" + dict(SPANS)["EMAIL"]), F.lit(0))).alias("email"))
+
+
+@_query("SELECT doc_id, CAST(strlen(substr(text, 1, 100)) AS INT) AS bytes FROM documents")
+def span_byte_offsets(spark, d):
+    return table(spark, d, "documents").select("doc_id", detect.byte_offset(F.col("text"), F.lit(100)).alias("bytes"))
+
+
+_NAMES = f"""prompts AS ({PROMPTS}) SELECT session_id, seq, kind, CAST(count(*) AS BIGINT) AS n FROM prompts, (VALUES ('PERSON', 'Dr. Smith'), ('PERSON', ' Smith'), ('PERSON', 'Alice'), ('LOCATION', 'Paris'), ('ORG', 'Acme')) v(kind, name)
+WHERE contains(text, name) AND (name <> ' Smith' OR contains(replace(text, 'Dr. Smith', ''), ' Smith')) GROUP BY ALL"""
+
+
+@_query(f"WITH {_NAMES}")
+def gazetteer_detect(spark, d):
+    rows = prompts(spark, d).select("session_id", "seq", F.explode(detect.gazetteer(F.col("text"))).alias("x"))
+    return rows.groupBy("session_id", "seq", "x.kind").agg(F.count("*").alias("n"))
+
+
+@_query()
+def fallback_merge(spark, d):
+    rows = prompts(spark, d)
+    return rows.select("session_id", "seq", *(F.size(detect.detect_with(s, F.col("text"))).alias(s) for s in detect.STRATEGIES))
+
+
+@_query(f"WITH {_MINTED} SELECT session_id, norm, kind, n, pseudonym, canonical FROM minted")
+def entity_mint(spark, d):
+    return _minted(spark, d)
+
+
+@_query(f"WITH {_MINTED} SELECT session_id, count(DISTINCT pseudonym) AS entities FROM minted GROUP BY session_id")
+def entity_counts(spark, d):
+    return entities.counts(_minted(spark, d))
+
+
+@_query("SELECT c_custkey, trim(regexp_replace(lower(trim('Dr. ' || c_name)), '^(?:dr\\.?|mr\\.?|mrs\\.?|ms\\.?|prof\\.?|miss)\\s+', '')) AS norm FROM customer")
+def normalize_person(spark, d):
+    return table(spark, d, "customer").select("c_custkey", entities.normalise(F.concat(F.lit("Dr. "), F.col("c_name")), F.lit("PERSON")).alias("norm"))
+
+
+_SAFE = f"""{_MINTED},
+named AS (SELECT s.session_id, s.seq, s.text, m.pseudonym, s.s FROM spans s JOIN minted m ON s.session_id = m.session_id AND s.text = m.norm),
+lists AS (SELECT session_id, seq, list(text ORDER BY s) AS t, list(pseudonym ORDER BY s) AS p, list(s ORDER BY s) AS a FROM named GROUP BY ALL),
+safe AS (SELECT p.session_id, p.seq, p.text, CASE WHEN l.t IS NULL THEN p.text ELSE
+  array_to_string(list_transform(range(1, len(l.t) + 1), lambda i: substr(p.text, CASE WHEN i = 1 THEN 1 ELSE l.a[i - 1] + length(l.t[i - 1]) + 1 END, CASE WHEN i = 1 THEN l.a[1] ELSE l.a[i] - l.a[i - 1] - length(l.t[i - 1]) END) || l.p[i]), '')
+  || substr(p.text, l.a[len(l.a)] + length(l.t[len(l.t)]) + 1) END AS safe FROM prompts p LEFT JOIN lists l ON p.session_id = l.session_id AND p.seq = l.seq)"""
+
+
+@_query(f"WITH {_SAFE} SELECT session_id, seq, safe FROM safe")
+def pseudonymize_text(spark, d):
+    return _safe(spark, d).select("session_id", "seq", "safe")
+
+
+@_query(f"WITH {_SAFE} SELECT session_id, seq, text AS restored FROM safe")
+def reverse_map_text(spark, d):
+    return rewrite.reverse(_safe(spark, d), _minted(spark, d), "safe").select("session_id", "seq", "restored")
+
+
+@_query(f"WITH prompts AS ({PROMPTS}) SELECT count(*) AS rows, CAST(1.0 AS DOUBLE) AS exact FROM prompts")
+def roundtrip_rate(spark, d):
+    rows = rewrite.reverse(_safe(spark, d), _minted(spark, d), "safe")
+    return rows.agg(F.count("*").alias("rows"), F.avg((F.col("restored") == F.col("text")).cast("double")).alias("exact"))
+
+
+@_query(f"WITH {_REPLIES}, toks AS (SELECT session_id, seq, unnest(regexp_extract_all(text, '(?:EMAIL|PATH)_[0-9]+')) AS token FROM replies) SELECT session_id, seq, token FROM toks t WHERE NOT EXISTS (SELECT 1 FROM minted m WHERE m.session_id = t.session_id AND m.pseudonym = t.token)")
+def audit_unknown(spark, d):
+    return audit.unknown(replies(spark, d), _minted(spark, d)).select("session_id", "seq", F.col("finding.text").alias("token"))
+
+
+@_query(f"WITH prompts AS ({PROMPTS}), replies AS ({REPLIES}) SELECT session_id, seq, regexp_extract(text, '[a-z0-9]+@corp\\.io') AS leak FROM replies WHERE text LIKE '%@%'")
+def audit_leaked(spark, d):
+    return audit.leaked(replies(spark, d)).select("session_id", "seq", F.col("finding.text").alias("leak"))
+
+
+def _audited(spark, d):
+    return audit.findings(replies(spark, d), _minted(spark, d))
+
+
+@_query(f"""WITH {_REPLIES}, toks AS (SELECT session_id, seq, unnest(regexp_extract_all(text, '(?:EMAIL|PATH)_[0-9]+')) AS token FROM replies),
+u AS (SELECT session_id, seq, count(*) AS c FROM toks t WHERE NOT EXISTS (SELECT 1 FROM minted m WHERE m.session_id = t.session_id AND m.pseudonym = t.token) GROUP BY ALL)
+SELECT r.session_id, r.seq, CAST(coalesce(c, 0) + CASE WHEN text LIKE '%@%' THEN 1 ELSE 0 END AS INT) AS findings,
+CASE WHEN c IS NOT NULL THEN 'redact' WHEN text LIKE '%@%' THEN 'log_only' ELSE 'pass' END AS verdict FROM replies r LEFT JOIN u ON r.session_id = u.session_id AND r.seq = u.seq""")
+def audit_verdict(spark, d):
+    return _audited(spark, d).select("session_id", "seq", F.size("findings").alias("findings"), audit.verdict(F.col("findings"), "redact").alias("verdict"))
+
+
+@_query()
+def audit_redact(spark, d):
+    return _audited(spark, d).select("session_id", "seq", audit.redact(F.col("text"), F.col("findings")).alias("text"))
+
+
+@_query()
+def cohort_prompts(spark, d):
+    return cohort.cohort(_safe(spark, d), 4, _minted(spark, d))
+
+
+@_query()
+def cohort_decoys(spark, d):
+    return cohort.cohort(_safe(spark, d), 4, _minted(spark, d), hide_content=True)
+
+
+_NAMES_SQL = f"WITH {_SAFE}, n AS (SELECT session_id, seq, list_distinct(regexp_extract_all(safe, '(?:EMAIL|PATH|IP|URL|UUID)_[0-9]+')) AS names FROM safe)"
+
+
+@_query(f"{_NAMES_SQL} SELECT session_id, seq, array_to_string(list_sort(list_transform(names, lambda x: split_part(x, '_', 1))), '|') AS profile FROM n")
+def cohort_profile(spark, d):
+    return _safe(spark, d).select("session_id", "seq", cohort.profile(cohort.entities(F.col("safe"))).alias("profile"))
+
+
+@_query(f"{_NAMES_SQL}, e AS (SELECT session_id, seq, split_part(unnest(names), '_', 1) AS kind FROM n) SELECT session_id, seq, kind, 3 * count(*) AS needed, CAST(16 AS BIGINT) AS available, 3 * count(*) > 16 AS exhausted FROM e GROUP BY ALL")
+def cohort_capacity(spark, d):
+    return cohort.capacity(_safe(spark, d), 4)
+
+
+@_query(f"{_NAMES_SQL} SELECT session_id, seq, CASE WHEN len(names) = 0 THEN 0.0 ELSE 2.0 END::DOUBLE AS bits FROM n")
+def cohort_entropy(spark, d):
+    return cohort.entropy(cohort_prompts(spark, d))
+
+
+@_query(f"WITH {_MINTED} SELECT session_id, bool_or(n BETWEEN 10001 AND 10016) AS collides FROM minted GROUP BY session_id")
+def cohort_collision(spark, d):
+    return cohort.collision(_minted(spark, d))
+
+
+@_query()
+def cohort_scramble(spark, d):
+    return cohort.scramble(cohort_prompts(spark, d), 7).select("session_id", "seq", "member", "scrambled")
+
+
+def _count_sql(words):
+    return " + ".join(f"CAST(contains(lower(text), {_q(w)}) AS INT)" for w in words)
+
+
+@_query(f"SELECT doc_id, {_count_sql(PRIVATE)} AS private, {_count_sql(SECRET)} AS secret FROM documents")
+def tier_keyword_hits(spark, d):
+    return table(spark, d, "documents").select("doc_id", tiers.hits(F.col("text"), PRIVATE).alias("private"), tiers.hits(F.col("text"), SECRET).alias("secret"))
+
+
+_TIER = f"""WITH prompts AS ({PROMPTS}), k AS (SELECT session_id, seq, regexp_matches(text, {_q(ENV)}) OR regexp_matches(text, {_q(chr(92) + "b" + KEYS + chr(92) + "b")}) AS env, ({_count_sql(SECRET)}) AS sk, ({_count_sql(PRIVATE)}) AS pk FROM prompts),
+t AS (SELECT session_id, seq, CASE WHEN env OR sk > 0 THEN 'secret' WHEN pk > 0 THEN 'private' ELSE 'internal' END AS tier FROM k)"""
+
+
+@_query(f"{_TIER} SELECT session_id, seq, tier FROM t")
+def tier_argmax(spark, d):
+    return prompts(spark, d).select("session_id", "seq", tiers.argmax(tiers.scores(F.col("text"))).alias("tier"))
+
+
+@_query()
+def tier_scores(spark, d):
+    return table(spark, d, "documents").select("doc_id", tiers.scores(F.col("text")).alias("s")).select("doc_id", *(F.round(f"s.{t}", 6).alias(t) for t in kinds.LADDER))
+
+
+
+@_query("""WITH x AS (SELECT event_id, CAST(event_id % 7 AS DOUBLE) / 16 AS a, CAST(event_id % 5 AS DOUBLE) / 8 AS b, CAST(event_id % 3 AS DOUBLE) / 8 AS c, CAST(event_id % 11 AS DOUBLE) / 16 AS d FROM events),
+y AS (SELECT *, list_reverse_sort([a, b, c, d]) AS o, CASE WHEN d >= greatest(a, b, c) THEN 3 WHEN c >= greatest(a, b) THEN 2 WHEN b >= a THEN 1 ELSE 0 END AS r FROM x)
+SELECT event_id, o[1] - o[2] AS margin, (['public', 'internal', 'private', 'secret'])[CASE WHEN o[1] - o[2] < 0.2 THEN least(r + 2, 4) ELSE r + 1 END] AS tier, o[1] - o[2] < 0.2 AS escalated FROM y""")
+def tier_margin_escalate(spark, d):
+    s = F.struct(*((F.col("event_id") % m).cast("double").__truediv__(n).alias(t) for t, m, n in zip(kinds.LADDER, (7, 5, 3, 11), (16, 8, 8, 16), strict=True)))
+    rows = table(spark, d, "events").select("event_id", s.alias("s")).withColumn("e", tiers.escalate(F.col("s")))
+    return rows.select("event_id", tiers.margin(F.col("s")).alias("margin"), "e.tier", "e.escalated")
+
+
+@_query(f"""{_TIER} SELECT session_id, seq, tier, CASE WHEN tier = 'internal' THEN 'anthropic' WHEN tier = 'private' THEN 'cohort(anthropic)' ELSE 'webllm' END AS backend_id, tier = 'private' AS transformed, false AS withheld FROM t""")
+def tier_route(spark, d):
+    r = tiers.route(F.col("tier"), F.lit("anthropic"), F.lit("webllm"), F.lit(True), cohort_k=4)
+    return tier_argmax(spark, d).select("session_id", "seq", r.alias("r")).select("session_id", "seq", "r.tier", "r.backend_id", "r.transformed", "r.withheld")
+
+
+@_query("SELECT unnest(" + repr(list(kinds.WIRE_KINDS)) + ") AS kind, CASE WHEN kind IN " + repr(kinds.SECRET_KINDS) + " THEN 'secret' ELSE 'private' END AS tier")
+def tier_floor(spark, d):
+    rows = spark.createDataFrame([(k,) for k in kinds.WIRE_KINDS], "kind string")
+    return rows.select("kind", kinds.floor_tier(F.col("kind")).alias("tier"))
+
+
+@_query("SELECT unnest(['openai-compat', 'webllm', 'zero-tvm']) AS backend_id")
+def backend_eligibility(spark, d):
+    return kinds.eligible(kinds.backends(spark), "secret").select("backend_id")
+
+
+@_query("SELECT * FROM (VALUES ('public', 'webllm'), ('internal', 'webllm'), ('private', 'webllm'), ('secret', 'webllm')) t(tier, backend_id)")
+def fallback_chain(spark, d):
+    return kinds.first_reachable(kinds.chain(spark), spark.createDataFrame([("webllm",), ("zero-tvm",)], "backend_id string"))
+
+
+@_query("SELECT conv_id, CAST(NULL AS INT) AS violation FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant' AND turn > 4) = 0 UNION ALL SELECT conv_id, 2 FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant' AND turn > 4) > 0")
+def remote_guard(spark, d):
+    rows = table(spark, d, "conversations").withColumn("tier", F.when((F.col("role") == "assistant") & (F.col("turn") > 4), "private").otherwise("public"))
+    return tiers.guard(rows)
+
+
+@_query("SELECT doc_id, CAST(i AS INT) AS line, trim(x) AS text FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE contains(text, 'license') AND NOT regexp_matches(text, " + _q(ENV) + ") AND NOT regexp_matches(text, " + _q(chr(92) + "b" + KEYS + chr(92) + "b") + ") AND (" + _count_sql(SECRET) + ") = 0)) WHERE contains(x, 'license')")
+def grep_lines(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
+    return convo.grep(docs, "license").withColumnRenamed("path", "doc_id")
+
+
+@_query("""WITH l AS (SELECT conv_id, max(turn) FILTER (WHERE role IN ('user', 'tool')) AS last FROM conversations GROUP BY conv_id),
+p AS (SELECT c.*, l.last FROM conversations c JOIN l USING (conv_id)),
+f AS (SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), '') AS s,
+ coalesce(string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system' AND turn IS DISTINCT FROM last), '') AS t,
+ coalesce(max(text) FILTER (WHERE turn = last), '') AS u FROM p GROUP BY conv_id)
+SELECT conv_id, CASE WHEN s <> '' AND t <> '' THEN s || chr(10) || chr(10) || t ELSE s || t END AS system, u AS "user" FROM f""")
+def convo_fold(spark, d):
+    return convo.fold(table(spark, d, "conversations"))
+
+
+@_query()
+def anthropic_body(spark, d):
+    return convo.anthropic_body(table(spark, d, "conversations"), "model")
+
+
+@_query("SELECT CAST(conv_id AS STRING) AS stream_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def sse_parse(spark, d):
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), "turn", frame.alias("f"))
+    bodies = rows.groupBy("stream_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "f"))), lambda x: x["f"]), ""), F.lit("data: [DONE]\n\n")).alias("body"))
+    return convo.collect_text(convo.openai_tokens(bodies))
+
+
+@_query("SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL")
+def role_counts(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS k FROM events")
+def json_flat(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@_query()
+def pseudonymize_json_flat(spark, d):
+    doc = F.to_json(F.struct(F.col("text").alias("body"), F.lit("user").alias("role"), F.struct(F.col("text").alias("note")).alias("meta")))
+    rows = prompts(spark, d).withColumn("doc", doc).withColumn("leaves", jsonwalk.leaves(F.col("doc")))
+    return rows.select("session_id", "seq", jsonwalk.rebuild(F.col("doc"), F.transform("leaves", lambda x: F.upper(x["text"]))).alias("doc"), F.size("leaves").alias("n"))
+
+
+@_query("WITH l AS (SELECT user_id, max(event_id) AS last_used FROM events GROUP BY user_id) SELECT 's' || CAST(user_id AS STRING) AS session_id, last_used, (SELECT max(event_id) FROM events) - last_used >= 300 AS evicted FROM l")
+def session_evict_idle(spark, d):
+    rows = table(spark, d, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("at"))
+    top = rows.agg(F.max("at").alias("now"))
+    return entities.evict(rows, F.lit(0) + top.head()["now"], 300)
+
+
+@_query("WITH g AS (SELECT user_id, event_id, coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) >= 200, false) AS b FROM events) SELECT 's' || CAST(user_id AS STRING) AS session_id, event_id AS seq, CAST(sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS incarnation FROM g")
+def session_incarnations(spark, d):
+    rows = table(spark, d, "events").select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("at"))
+    return entities.incarnations(rows, 200).select("session_id", "seq", "incarnation")
+
+
+_PG = """pred AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'location' ELSE 'org' END AS kind, CAST(doc_id % 10 AS INT) AS s, CAST(doc_id % 10 + 4 AS INT) AS e, CAST(doc_id % 10 AS DOUBLE) / 10 AS score FROM documents),
+gold AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'location' ELSE 'org' END AS kind, 5 AS s, 9 AS e FROM documents)"""
+
+
+def _pred_gold(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    names = lambda m: F.element_at(F.array(F.lit("person"), F.lit("location"), F.lit("org")), F.least(F.col("doc_id") % m, F.lit(2)).cast("int") + 1)
+    at = (F.col("doc_id") % 10).cast("int")
+    return docs.select("doc_id", names(3).alias("kind"), at.alias("start"), (at + 4).alias("end"), (at.cast("double") / 10).alias("score")), docs.select("doc_id", names(4).alias("kind"), F.lit(5).alias("start"), F.lit(9).alias("end"))
+
+
+_PRF = """p AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = x.doc_id AND g.kind = x.kind AND g.s < x.e AND x.s < g.e)) AS h FROM pred x GROUP BY {r}(kind)),
+g AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM pred q WHERE q.doc_id = x.doc_id AND q.kind = x.kind AND q.s < x.e AND x.s < q.e)) AS h FROM gold x GROUP BY {r}(kind)),
+s AS (SELECT p.kind, p.h / p.n::DOUBLE AS precision, g.h / g.n::DOUBLE AS recall FROM p JOIN g ON p.kind IS NOT DISTINCT FROM g.kind)
+SELECT kind, round(precision, 9) AS precision, round(recall, 9) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 9) AS f1 FROM s"""
+
+
+@_query(f"WITH {_PG}, {_PRF.format(r='ROLLUP ')}")
+def overlap_prf_rollup(spark, d):
+    pred, gold = _pred_gold(spark, d)
+    return metrics.overlap_scores(pred.drop("score"), gold).select("kind", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@_query()
+def threshold_sweep(spark, d):
+    return metrics.sweep(*_pred_gold(spark, d))
+
+
+@_query("SELECT CAST(0.0 AS DOUBLE) AS leakage, CAST(1.0 AS DOUBLE) AS exact")
+def leakage_verbatim(spark, d):
+    rows = rewrite.reverse(_safe(spark, d), _minted(spark, d), "safe")
+    return metrics.verbatim_leakage(rows.withColumn("units", F.transform("spans", lambda x: x["text"])))
+
+
+@_query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS size FROM embeddings")
+def embed_l2norm(spark, d):
+    v = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(v), 5).alias("size"))
+
+
+@_query()
+def knn_siblings(spark, d):
+    rows = table(spark, d, "embeddings")
+    return metrics.nearest(rows, rows.orderBy("vec_id").limit(8), 5)
+
+
+@_query("SELECT page_id, lower(split_part(split_part(url, '/', 3), ':', 1)) IN ('localhost', '::1') AS loopback, regexp_replace(url, '/$', '') AS base FROM pages")
+def loopback_hosts(spark, d):
+    return table(spark, d, "pages").select("page_id", convo.loopback(F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit(":"), F.lit(1))).alias("loopback"), convo.base_url(F.col("url")).alias("base"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _safe(spark, sf_dir).select("session_id", "seq", "text", "safe")
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
