@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .vectors import against, few_of_each, usable
 
 #: Parts of the lists that are read before bounds are compared again.
-DEPTHS = (0.2, 0.35, 0.5, 0.65, 0.8, 1.0)
+DEPTHS = (0.35, 0.5, 0.65, 0.8, 1.0)
 
 
 class Lists:
@@ -36,25 +36,21 @@ class Lists:
         if n <= 4 * k or not len(use):
             at = np.flatnonzero(self.ids != own)
             return at, self.x[at] @ q, n
-        up = q[use] > 0
-        order = [self.order[d] if u else self.order[d][::-1] for d, u in zip(use.tolist(), up.tolist(), strict=True)]
-        parts = [(self.values[d] if u else self.values[d][::-1]) * q[d] for d, u in zip(use.tolist(), up.tolist(), strict=True)]
-        worst = np.array([p[-1] for p in parts])
-        read, lower, seen = 0, np.full(n, worst.sum()), []
+        up = (q[use] > 0)[:, None]
+        order = np.where(up, self.order[use], self.order[use][:, ::-1])
+        parts = np.where(up, self.values[use], self.values[use][:, ::-1]) * q[use][:, None]
+        worst = parts[:, -1:]
+        read, lower = 0, np.full(n, worst.sum())
         for share in DEPTHS:
             depth = max(read + 1, min(n, int(np.ceil(share * n))))
-            at, got = np.concatenate([o[read:depth] for o in order]), np.concatenate([p[read:depth] for p in parts])
-            lower += np.bincount(at, got - np.repeat(worst, depth - read), n)
-            seen.append((at, got, depth - read))
+            lower += np.bincount(order[:, read:depth].ravel(), (parts[:, read:depth] - worst).ravel(), n)
             read = depth
             sure = np.where(self.ids == own, -np.inf, lower)
             bound = max(least, np.partition(sure, n - k)[n - k])
-            edge = np.array([p[depth - 1] for p in parts])
+            edge = parts[:, depth - 1 : depth]
             if depth < n and edge.sum() >= bound:
                 continue  # a vector that no list has shown yet could still qualify
-            upper = np.full(n, edge.sum())
-            for at, got, many in seen:
-                upper += np.bincount(at, got - np.repeat(edge, many), n)
+            upper = edge.sum() + np.bincount(order[:, :depth].ravel(), (parts[:, :depth] - edge).ravel(), n)
             may = np.flatnonzero((upper >= bound) & (self.ids != own))
             if len(may) <= max(8 * k, n // 16) or depth == n:
                 break

@@ -61,7 +61,7 @@ def against(candidates: DataFrame, asked: DataFrame, search, k: int) -> DataFram
     chunks = written(in_blocks(asked, CHUNK), "chunks").select("dim", F.col("block").alias("chunk"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     n = chunks.count()
     pairs = blocks.join(F.broadcast(chunks) if n <= MOST_CHUNKS else chunks, "dim")
-    tasks = max(1, blocks.count() * n // 4)  # a task's later blocks start from the scores of its earlier ones
+    tasks = max(1, blocks.count() * n // 8)  # a task's later blocks start from the scores of its earlier ones
     found = pairs.repartition(tasks, "block", "chunk").select("ids", "data", "q_ids", "q_data", "chunk").mapInArrow(search, f"query_id long, vec_id long, score {score}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
