@@ -72,18 +72,17 @@ def flat_files(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 << 1
 def _scan(end_id: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, many, head, last, inner = [], [], [], [], []
+            size, many, last, after = [], [], [], []
             for v in batch.column("ids"):
                 ids = np.frombuffer(v.as_buffer(), f"<u{wide}")
                 at = np.flatnonzero(ids == end_id)
                 size.append(len(ids))
                 many.append(len(at))
-                head.append(int(at[0]) if len(at) else None)
                 last.append(int(at[-1]) + 1 if len(at) else None)
-                inner.append((np.diff(at) - 1).tolist())
+                after.append((at + 1).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("block"), *(pa.array(x, pa.int64()) for x in (size, many, head, last)), pa.array(inner, pa.list_(pa.int64()))],
-                names=["file", "block", "size", "many", "head", "last", "inner"],
+                [batch.column("file"), batch.column("block"), *(pa.array(x, pa.int64()) for x in (size, many, last)), pa.array(after, pa.list_(pa.int64()))],
+                names=["file", "block", "size", "many", "last", "after"],
             )
 
     return run
@@ -97,16 +96,16 @@ def count_tokens(files: DataFrame, end_id: int, wide: int = 2) -> DataFrame:
     the file), n_tokens, ended (false for ids after a file's last separator).
     Empty documents count 0; null ids are an empty block; empty files give none.
     """
-    cut = files.filter("ids is not null and octet_length(ids) > 0").mapInArrow(_scan(end_id, wide), "file int, block int, size long, many long, head long, last long, inner array<long>")
+    cut = files.filter("ids is not null and octet_length(ids) > 0").mapInArrow(_scan(end_id, wide), "file int, block int, size long, many long, last long, after array<long>")
     sums = written(cut, "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begin = sums.withColumns({"begin": F.coalesce(F.sum("size").over(before), F.lit(0)), "ordinal": F.coalesce(F.sum("many").over(before), F.lit(0))})
     # where the document that is open at a block's first id began
     open_ = begin.withColumn("open", F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(0)))
-    lengths = F.when(F.col("many") > 0, F.concat(F.array(F.col("begin") + F.col("head") - F.col("open")), "inner")).otherwise(F.array().cast("array<long>"))
-    each = open_.select("file", "ordinal", "open", F.posexplode(lengths).alias("i", "n_tokens"), lengths.alias("all"))
-    start = F.col("open") + F.aggregate(F.slice("all", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    ended = each.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"), start.alias("start"), "n_tokens", F.lit(True).alias("ended"))
+    # a document begins after the separator before its own, the block's first one where it is open
+    begins = F.when(F.col("many") > 0, F.concat(F.array("open"), F.transform(F.slice("after", F.lit(1), F.col("many").cast("int") - 1), lambda x: F.col("begin") + x)))
+    each = open_.select("file", "ordinal", "begin", F.posexplode(F.arrays_zip(begins.alias("start"), F.col("after"))).alias("i", "at"))
+    ended = each.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"), F.col("at.start").alias("start"), (F.col("begin") + F.col("at.after") - 1 - F.col("at.start")).alias("n_tokens"), F.lit(True).alias("ended"))
     total = sums.groupBy("file").agg(F.sum("size").alias("size"), F.sum("many").alias("ordinal"))
     ends = begin.groupBy("file").agg(F.coalesce(F.max(F.col("begin") + F.col("last")), F.lit(0)).alias("start"))
     rest = total.join(ends, "file").filter("size > start").select("file", "ordinal", "start", (F.col("size") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended"))
