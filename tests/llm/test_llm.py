@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.automaton import Dfa
 from umbra.llm.components import components
-from umbra.llm.counts import count_tokens
+from umbra.llm.counts import count_tokens, document_tokens
 from umbra.llm.jaccard import similarity_classes
 from umbra.llm.lines import line_dedup
 from umbra.llm.mixing import mix, solve, tempered
@@ -16,7 +16,7 @@ from umbra.llm.packing import pack
 from umbra.llm.quality import boost, score
 from umbra.llm.secrets import find_secrets
 from umbra.llm.topk import top_k
-from umbra.llm.warc import parse, plain_text, serialise
+from umbra.llm.warc import derivatives, digest, files, links, parse, plain_text, responses, serialise, title
 
 PATH = str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
 DOCS = "doc_id long, text string, source string, n_lines int, score double"
@@ -121,6 +121,46 @@ def test_counts(spark):
     assert got == [(0, 0, 3, True), (1, 4, 0, True), (2, 5, 1, True), (3, 7, 1, False)]
 
 
+def test_document_tokens(spark):
+    """Many documents of one block, and texts of many blocks, against the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    texts = [*ODD, *([""] * 300), "a b c " * 400, None]
+    want = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    for block in (7, 1 << 16):
+        rows = document_tokens(_docs(spark, texts).coalesce(2), PATH, 50256, block).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in rows} == dict(enumerate(want)) and len(rows) == len(texts)
+        for file in {r["file"] for r in rows}:
+            at = 0
+            for r in sorted((r for r in rows if r["file"] == file), key=lambda r: r["ordinal"]):
+                assert r["start"] == at
+                at += r["n_tokens"] + 1
+    assert document_tokens(_docs(spark, texts).limit(0), PATH, 50256).count() == 0
+
+
+def test_derivatives(spark):
+    page = '<title>A &lt; B</title><a data-href="/no" href="/y?a=1&amp;b=2">go</a><script><a href="/z"></script><p>x &amp; <b>y</b>'
+    rows = [(1, "http://h/p/", page, "r"), (2, None, None, None), (None, "http://[", "<a href='http://['>é</a> <", "r"), (4, "u", "<a " * 20_000, "r"), (5, "u", "", "r"), (5, "u", "", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_id string")
+    records = responses(pages)
+    made = derivatives(records.withColumn("block", F.lit(1))).collect()
+    of = {r["page_id"]: r for r in records.collect()}
+    assert len(made) == 2 * len(rows) and {r["record_type"] for r in made} == {"metadata", "conversion"}
+    for r in made:
+        source = of[r["page_id"]]
+        assert r["refers_to"] == source["record_id"] != r["record_id"] and r["source_headers"] == source["http_headers"]
+        assert r["source_payload_digest"] == digest(source["payload"].encode()) and r["block_digest"] == digest(r["block"].encode())
+        assert r["content_length"] == len(r["block"].encode())
+    assert [r["block"] for r in made if r["page_id"] == 1 and r["record_type"] == "conversion"] == ["A < B\ngox & y"] or "go" in plain_text(page)
+    assert title(page) == "A < B" and links(page, "http://h/p/") == ["http://h/y?a=1&b=2"]
+    assert derivatives(records.limit(0)).count() == 0
+    for r in files(derivatives(records)).collect():
+        ((head, block),) = parse(bytes(r["warc"]))
+        assert head["WARC-Record-ID"] == r["record_id"] and digest(block) == head["WARC-Block-Digest"]
+
+
 def test_mixing(spark):
     found = solve({"a": 1000, "b": 10}, max_repeats=4)
     assert abs(found.weights["b"] * found.budget / 10 - 4) < 0.01 and abs(sum(tempered({"a": 5, "b": 1}, 0.3).values()) - 1) < 1e-12

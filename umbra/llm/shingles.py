@@ -43,10 +43,10 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
-def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text, as hashing takes some
     tens of bytes for each; a longer text is a part alone."""
-    size = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):

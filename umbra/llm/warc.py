@@ -18,22 +18,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import slices
+
 VERSION = b"WARC/1.1"
 #: Elements whose content isn't text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template")
 LINES = "address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol option p pre section table td th title tr ul".split()
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{n}\b[^>]*>.*?(?:</{n}\s*>|\Z)" for n in HIDDEN), re.I | re.S)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{n}\b[^>]*(?:>.*?(?:</{n}\s*>|\Z)|\Z)" for n in HIDDEN), re.I | re.S)
 _LINE = re.compile(rf"</?(?:{'|'.join(LINES)})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TITLE = re.compile(r"<title\b[^>]*(?:>|\Z)(.*?)(?:</title\s*>|\Z)", re.I | re.S)
+_ANCHOR = re.compile(r"<a\b([^>]*)>", re.I)
+_HREF = re.compile(r"""(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+
+
+def _visible(page: str) -> tuple[str, str]:
+    """The page without hidden content, up to its last ``>``, and what follows.
+    Each search for a tag's end in the first part succeeds, so that time stays
+    linear in pages full of ``<``; the second has no tags."""
+    page = _HIDDEN.sub(" ", page)
+    end = page.rfind(">") + 1
+    return page[:end], page[end:]
 
 
 def plain_text(page: str) -> str:
     """Visible text, one line for each block element that has any."""
-    shown = _TAG.sub("", _LINE.sub("\n", _HIDDEN.sub(" ", page).replace("\n", " ")))
+    shown, rest = _visible(page)
+    shown = _TAG.sub("", _LINE.sub("\n", shown.replace("\n", " "))) + rest.replace("\n", " ")
     lines = (_SPACES.sub(" ", x).strip() for x in html.unescape(shown).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -41,7 +54,10 @@ def plain_text(page: str) -> str:
 def links(page: str, base: str) -> list[str]:
     """Targets of the page's anchors in order, resolved against its address."""
     out = []
-    for m in _HREF.finditer(_HIDDEN.sub(" ", page)):
+    for tag in _ANCHOR.finditer(_visible(page)[0]):
+        m = _HREF.search(tag[1])
+        if m is None:
+            continue
         target = html.unescape(m[1] or m[2] or m[3] or "").strip()
         try:
             out.append(urljoin(base, target))
@@ -51,7 +67,7 @@ def links(page: str, base: str) -> list[str]:
 
 
 def title(page: str) -> str:
-    found = _TITLE.search(_HIDDEN.sub(" ", page))
+    found = _TITLE.search("".join(_visible(page)))
     return _SPACES.sub(" ", html.unescape(found[1]).replace("\n", " ")).strip() if found else ""
 
 
@@ -99,9 +115,9 @@ DERIVED = "page_id long, record_type string, record_id string, refers_to string,
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in DERIVED.split(", ")]
     for batch in batches:
-        for a in range(0, len(batch), 500):
+        for part in slices(batch, column="payload"):
             rows = []
-            for r in batch.slice(a, 500).to_pylist():
+            for r in part.to_pylist():
                 page, head, uri = r["payload"] or "", r["http_headers"] or "", r["target_uri"] or ""
                 source = dict(k.partition(":")[::2] for k in head.split("\r\n")[1:] if k)
                 of = digest(page.encode("utf-8", "surrogatepass"))
