@@ -95,11 +95,16 @@ def normalised(vector: Column) -> Column:
     return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256, salts: int = 16) -> DataFrame:
     """The k-1 nearest siblings of each query vector (vec_id, embedding) by dot
-    product; queries are few and are sent to the rows."""
-    q = queries.select(F.col("vec_id").alias("query_id"), normalised(F.col("embedding")).alias("q"))
-    c = rows.select("vec_id", normalised(F.col("embedding")).alias("c"))
-    dot = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = c.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("score"))
+    product. Queries against all rows, in blocks: a row meets whole blocks of
+    queries by an equi-join on (block, salt), and every task keeps its k-1 best
+    of each query before anything is shuffled for the last ranking."""
+    blocks = max(1, -(-queries.count() // block))
+    by_block = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col("vec_id").alias("query_id"), normalised(F.col("embedding")).alias("q")).alias("x"))
+    asked = by_block.groupBy("block").agg(F.collect_list("x").alias("asked")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    c = rows.select("vec_id", normalised(F.col("embedding")).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
+    met = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["block", "salt"])
+    dot = F.aggregate(F.zip_with("x.q", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    pairs = met.select("vec_id", "c", F.explode("asked").alias("x")).filter("vec_id <> x.query_id").select("x.query_id", "vec_id", F.round(dot, 6).alias("score"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k - 1)
