@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from .vectors import against, few_of_each, usable
 
 
+#: Most cells of a table whose chances are ordered for a query.
+MOST_CELLS = 1 << 16
+
+
 @dataclass(frozen=True)
 class Plan:
     """tables x hashes; ``near``: the neighbour distance to find; ``width`` of a
@@ -30,7 +34,7 @@ class Plan:
     hashes: int = 4
     near: float = 1.0
     width: float = 1.0
-    success: float = 0.93
+    success: float = 0.97
     seed: int = 7
 
 
@@ -54,36 +58,65 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(1.5976 * x + 0.070566 * x**3, -60, 60)))
 
 
+class Hashes:
+    """The tables' hash functions, and which buckets a query visits."""
+
+    def __init__(self, plan: Plan, dim: int):
+        rng = np.random.default_rng([plan.seed, dim])
+        self.plan = plan
+        self.a = rng.standard_normal((plan.tables, plan.hashes, dim))
+        self.b = rng.uniform(0, plan.width, (plan.tables, plan.hashes))
+        # cells on each side of a query's own that hold all but a thousandth of its chance
+        self.side = int(np.ceil(3.2 * plan.near / plan.width))
+        while self.side > 1 and (2 * self.side + 1) ** plan.hashes > MOST_CELLS:
+            self.side -= 1
+
+    def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each table the lowest cells, each cell's chance by hash, and the
+        chance from which on buckets are visited: the most likely ones first,
+        until together they reach the table's target. It is 0, so that all are
+        visited, where the cells looked at can't reach it."""
+        plan, q = self.plan, q / np.sqrt((q * q).sum())
+        target = 1 - (1 - plan.success) ** (1 / plan.tables)
+        at = self.a @ q + self.b
+        low = np.floor(at / plan.width) - self.side
+        edge = (low[..., None] + np.arange(2 * self.side + 2)) * plan.width - at[..., None]
+        chance = np.diff(_normal(edge / plan.near), axis=-1)
+        last = np.zeros(plan.tables)
+        for t in range(plan.tables):
+            cells = chance[t, 0]
+            for row in chance[t, 1:]:
+                cells = np.outer(cells, row).ravel()
+            order = -np.sort(-cells)
+            k = int(np.searchsorted(np.cumsum(order), target))
+            if k < len(order):
+                last[t] = order[k] * (1 - 1e-12)
+        return low.astype(np.int64), chance, last
+
+
 class Index:
     """All tables of one block."""
 
-    def __init__(self, x: np.ndarray, plan: Plan):
-        self.plan, self.x = plan, x
-        rng = np.random.default_rng([plan.seed, x.shape[1]])
-        self.a = rng.standard_normal((plan.tables, plan.hashes, x.shape[1]))
-        self.b = rng.uniform(0, plan.width, (plan.tables, plan.hashes))
+    def __init__(self, x: np.ndarray, hashes: Hashes):
+        self.x, self.width = x, 2 * hashes.side + 1
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         self.buckets = []
-        for a, b in zip(self.a, self.b, strict=True):
-            code = np.floor((unit @ a.T + b) / plan.width).astype(np.int64)
+        for a, b in zip(hashes.a, hashes.b, strict=True):
+            code = np.floor((unit @ a.T + b) / hashes.plan.width).astype(np.int64)
             keys, of = np.unique(code, axis=0, return_inverse=True)
-            low = keys.min(axis=0)
-            self.buckets.append((keys - low, low, of.ravel(), int((keys - low).max()) + 1))
+            self.buckets.append((keys, of.ravel()))
 
-    def candidates(self, q: np.ndarray, least: int) -> np.ndarray:
+    def candidates(self, probes, least: int) -> np.ndarray:
         """Places of the vectors in visited buckets; all if no more than ``least`` are."""
-        plan, hit = self.plan, np.zeros(len(self.x), bool)
-        q = q / np.sqrt((q * q).sum())
-        target = 1 - (1 - plan.success) ** (1 / plan.tables)
-        for (keys, low, of, span), a, b in zip(self.buckets, self.a, self.b, strict=True):
-            edge = (np.arange(span + 1) + low[:, None]) * plan.width - (a @ q + b)[:, None]
-            chance = np.diff(_normal(edge / plan.near), axis=1)
-            cells = chance[0]
-            for row in chance[1:]:
-                cells = np.outer(cells, row).ravel()
-            order = -np.sort(-cells)  # buckets in order of success, empty ones too
-            last = order[min(len(order) - 1, int(np.searchsorted(np.cumsum(order), target)))]
-            hit |= (cells[keys @ span ** np.arange(plan.hashes)[::-1]] >= last * (1 - 1e-12))[of]
+        hit = np.zeros(len(self.x), bool)
+        for (keys, of), low, chance, last in zip(self.buckets, *probes, strict=True):
+            cell = keys - low
+            near = ((cell >= 0) & (cell < self.width)).all(axis=1)
+            cell = cell.clip(0, self.width - 1)
+            p = chance[0][cell[:, 0]]
+            for h in range(1, cell.shape[1]):
+                p = p * chance[h][cell[:, h]]
+            hit |= ((near & (p >= last)) | (last == 0))[of]
         return np.flatnonzero(hit) if hit.sum() > least else np.arange(len(hit))
 
 
@@ -94,13 +127,19 @@ class _Search:
         self.k, self.plan = k, plan
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], list] = {}  # each query's probes, by its chunk: they are the same for all blocks
         for batch in batches:
-            for ids, data, q_ids, q_data, _ in zip(*batch.columns, strict=True):
+            for ids, data, q_ids, q_data, chunk in zip(*batch.columns, strict=True):
                 ids, q_ids = (np.frombuffer(v.as_buffer(), np.int64) for v in (ids, q_ids))
                 x, asked = (np.frombuffer(v.as_buffer(), np.float64).reshape(n, -1) for v, n in ((data, len(ids)), (q_data, len(q_ids))))
-                index, size, out = Index(x, self.plan), np.sqrt((x * x).sum(axis=1)), []
-                for q, own in zip(asked, q_ids.tolist(), strict=True):
-                    at = index.candidates(q, self.k)
+                hashes, key = Hashes(self.plan, x.shape[1]), (x.shape[1], chunk.as_py())
+                if key not in known:
+                    if len(known) > 4:
+                        known.clear()
+                    known[key] = [hashes.probes(q) for q in asked]
+                index, size, out = Index(x, hashes), np.sqrt((x * x).sum(axis=1)), []
+                for q, own, probes in zip(asked, q_ids.tolist(), known[key], strict=True):
+                    at = index.candidates(probes, self.k)
                     at = at[ids[at] != own]
                     score = (x[at] * q).sum(axis=1) / (size[at] * np.sqrt((q * q).sum()))
                     top = np.lexsort([ids[at], -score])[: self.k]
