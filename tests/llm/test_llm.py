@@ -182,3 +182,17 @@ def test_quality_and_warc(spark):
     record = serialise([("WARC-Type", "conversion")], "é".encode())
     assert list(parse(record * 2)) == [({"WARC-Type": "conversion", "Content-Length": "2"}, "é".encode())] * 2
     assert plain_text("<title>T</title><p>a &amp; b<br>c<script>x<p></script><!-- y --></p>") == "T\na & b\nc"
+
+
+def test_copies_of_vectors(spark):
+    """Ids that repeat, and many ids of one vector, leave room for each other."""
+    v, w = [1.0, 2.0, -1.0], [0.5, 0.0, 3.0]
+    rows = [(50, v)] * 9 + [(51, v)] * 3 + [(i, v) for i in range(52, 70)] + [(2, w), (100, w)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.filter("vec_id % 50 = 0")
+    for found in (top_k(df, asked), neighbours(df, asked)):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert sorted(got[50]) == [(1, 51), (2, 51), (3, 51), (4, 52), (5, 53)]
+        assert sorted(got[100])[0] == (1, 2) and [i for _, i in sorted(got[100])[1:]] == [50] * 4

@@ -24,10 +24,13 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def few_of_each(vectors: DataFrame, most: int) -> DataFrame:
-    """Of identical vectors the ``most`` smallest ids. With one more than k, no
-    query's k best (ties to smaller ids, its own row left out) can change."""
+    """Of identical vectors the ``most`` smallest ids, each id that repeats up to
+    ``most`` times. With one more than k, no query's k best (ties to smaller
+    ids, rows of its own id left out) can change. Copies are counted before
+    anything is shuffled by vector."""
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    return vectors.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    each = vectors.groupBy("v", "id").agg(F.count("*").alias("copies")).withColumn("rank", rank).filter(F.col("rank") <= most)
+    return each.select("id", F.explode(F.array_repeat("v", F.least("copies", F.lit(most)).cast("int"))).alias("v"))
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -46,6 +49,7 @@ def _pack(table: pa.Table) -> pa.Table:
 
 def in_blocks(vectors: DataFrame, size: int) -> DataFrame:
     """Rows of about ``size`` vectors of one dimension each, dealt by the id's hash."""
+    vectors = written(vectors, "vectors")
     many = max(1, -(-vectors.count() // size))
     dealt = vectors.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")})
     return dealt.groupBy("dim", "block").applyInArrow(_pack, SCHEMA)
