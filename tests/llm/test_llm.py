@@ -62,6 +62,17 @@ def test_jaccard_brute(spark):
     assert got == {i: (len(s), up[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows that repeat an id are one document, however many, beside a near copy."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:20], "other", *words[21:]])
+    rows = [(1, " ".join(words))] * 1200 + [(1, "zz yy xx ww vv uu")] * 2 + [(2, near), (3, "quite another text of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = similarity_classes(docs.filter("text not like 'zz%'")).collect()
+    assert len(got) == 1202 and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 3)}
+    assert similarity_classes(docs).count() == len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).distinct().collect()))

@@ -83,11 +83,29 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def _first_rows(width: int):
+    """Of rows that repeat an id, a task's first one of the id's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in _slices(batch):
+                ids, keep = part.column("doc_id").to_pylist(), []
+                fresh = part.take(pa.array([i for i, node in enumerate(ids) if node not in seen], pa.int64()))
+                rows = zip(fresh.column("doc_id").to_pylist(), fresh.column("class").to_pylist(), shingle_sets(fresh.column("text"), width), strict=True)
+                for i, (node, class_, grams) in enumerate(rows):
+                    if node not in seen and len(grams) and class_ == _digest(grams):
+                        seen.add(node)
+                        keep.append(i)
+                yield fresh.take(pa.array(keep, pa.int64())).select(["doc_id", "text"])
+
+    return run
+
+
 def _chosen(part: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Node and set of the rows that stand for their id and class."""
-    only = part.column("only").to_pylist()
-    for node, keep, grams in zip(part.column("doc_id").to_pylist(), only, shingle_sets(part.column("text"), width), strict=True):
-        if len(grams) and (keep is None or keep == _digest(grams)):
+    """Node and set of each row that has words."""
+    for node, grams in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), width), strict=True):
+        if len(grams):
             yield node, grams
 
 
@@ -305,13 +323,16 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     first = written(docs.mapInArrow(_sizes(width), "kind byte, doc_id long, n long, class binary, gram long"), "sizes")
     rows = first.filter("kind = 0").select("doc_id", "n", "class")
     # one class of each id, one node of each class
-    ids = rows.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("class").alias("class"), F.count_distinct("class").alias("classes"))
+    ids = rows.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("class").alias("class"), F.count("*").alias("copies"))
     ids = written(ids, "ids")
     nodes = ids.groupBy("class").agg(F.min("doc_id").alias("node"))
-    of_node = written(ids.join(nodes, "class").select("doc_id", "node", "class", "classes"), "nodes")
-    # rows that don't stand for a node: copies, and other words under an id that has a class already
-    out = of_node.filter("doc_id <> node or classes > 1").select("doc_id", F.when(F.col("doc_id") == F.col("node"), F.col("class")).otherwise(F.lit(b"")).alias("only"))
-    chosen = docs.filter("doc_id is not null").join(sized(out), "doc_id", "left")
+    of_node = written(ids.join(nodes, "class").select("doc_id", "node", "class", "copies"), "nodes")
+    # one row of each node: copies go, and of rows that repeat an id one of its class stays
+    out = of_node.filter("doc_id <> node or copies > 1").select("doc_id")
+    again = of_node.filter("doc_id = node and copies > 1").select("doc_id", "class")
+    again = docs.join(sized(again), "doc_id").select("doc_id", "text", "class").mapInArrow(_first_rows(width), "doc_id long, text string")
+    again = written(again.groupBy("doc_id").agg(F.first("text").alias("text")), "again")
+    chosen = docs.filter("doc_id is not null").join(sized(out), "doc_id", "left_anti").select("doc_id", "text").union(again)
     total = rows.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).head()
     top = first.filter("kind = 1").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(FREQUENT_FROM, total["rows"] // 500)).orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
     top = sorted(((r["gram"] % (1 << 64)), k) for k, r in enumerate(reversed(top)))
