@@ -182,6 +182,46 @@ def test_mixing(spark):
     assert mix(_docs(spark, ODD), max_repeats=2.0).select("doc_id").distinct().count() == len(ODD)
 
 
+def test_mixing_many_sources(spark):
+    """Each of over 1024 sources has its own weight and repetition."""
+    rows = [(i, "w " * (1 + i % 7), f"site{i}") for i in range(1500)] + [(5000 + i, "w " * 99, "big") for i in range(200)]
+    tokens = {}
+    for _, text, source in rows:
+        tokens[source] = tokens.get(source, 0) + len(text) // 2 + 1
+    found = solve(tokens, max_repeats=3.0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["source"]: r["t"] for r in mix(docs, max_repeats=3.0).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert got.keys() == tokens.keys()
+    assert all(-0.5 <= got[s] - w * found.budget <= (100 if s == "big" else tokens[s]) + 0.5 for s, w in found.weights.items())
+
+
+def test_packing_many_sources(spark):
+    """Each of over 1024 queues is served by its own share, against rounds played one by one."""
+    window, slot = 64, 16
+    rows = [(i, "a b c " * (1 + i % 9), f"site{i}") for i in range(1100)] + [(5000 + i, "d e " * 50, "big") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for target in (None, {"big": 0.5, "site7": 0.1}):
+        pieces = pack(docs, PATH, window=window, slot=slot, target=target).orderBy("sequence_id", "offset").collect()
+        total = {}
+        for p in pieces:
+            total[p["queue"]] = total.get(p["queue"], 0) + p["length"]
+        assert set(total) == {"s" + s for _, _, s in rows}
+        given = {"s" + k: v for k, v in (target or {}).items()}
+        loose = sum(n for q, n in total.items() if q not in given)
+        want = {q: given.get(q, (1 - sum(given.values())) * n / loose) for q, n in total.items()}
+        share = {q: max(1, round(w / sum(want.values()) * 65536)) for q, w in want.items()}
+        order, every = sorted(total, key=lambda q: (share[q], total[q], q)), sum(share.values())
+        left, stream, r = dict(total), [], 0
+        while len(stream) < sum(total.values()):
+            r += 1
+            for q in order:
+                due = (r * window * share[q] // (every * slot) - (r - 1) * window * share[q] // (every * slot)) * slot
+                n = min(due, left[q])
+                stream += [q] * n
+                left[q] -= n
+        assert [q for p in pieces for q in [p["queue"]] * p["length"]] == stream
+
+
 def test_quality_and_warc(spark):
     rng = np.random.default_rng(2)
     x = rng.random((400, 30))

@@ -25,33 +25,45 @@ from .tokens import Ids
 SHARES = 1 << 16
 
 
-def shares(totals: np.ndarray, target: np.ndarray | None = None) -> np.ndarray:
-    """Whole-number shares of about ``SHARES`` in sum, at least 1 each."""
-    want = np.asarray(totals if target is None else target, float)
-    return np.maximum(1, np.round(want / max(want.sum(), 1e-300) * SHARES)).astype(np.int64)
-
-
 class Schedule:
-    """Where each queue's slots go. totals: tokens by queue; share: by queue."""
-
-    def __init__(self, totals: np.ndarray, share: np.ndarray, window: int, slot: int):
-        self.totals, self.share, self.window, self.slot = totals.astype(np.int64), share.astype(np.int64), window, slot
-        self.all = int(self.share.sum())
-        self.slots = -(-self.totals // slot)
-
-    def _served(self, queue, rounds) -> np.ndarray:
-        """Slots served by the end of a round."""
-        return np.minimum(rounds * (self.window * self.share[queue]) // (self.all * self.slot), self.slots[queue])
-
-    def place(self, queue: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """The place in the packed stream of the first token of each slot."""
-        due = (number + 1) * (self.all * self.slot)
-        rounds = -(-due // (self.window * self.share[queue]))
-        out = (number - self._served(queue, rounds - 1)) * self.slot
-        for other in range(len(self.totals)):
-            before, now = (np.minimum(self._served(other, r) * self.slot, self.totals[other]) for r in (rounds - 1, rounds))
-            out += np.where(other < queue, now, before)
-        # the queue's own slots of earlier rounds are counted as "before"
+    """Where each queue's slots go. Queues are ordered by share and total; rows
+    of ``sizes`` are (share, total, queues that have both), in this order, so
+    that what all queues before a place served is a prefix sum for each share."""
+
+    def __init__(self, sizes: list[tuple[int, int, int]], window: int, slot: int):
+        share, total, many = np.array(sizes, np.int64).reshape(-1, 3).T
+        self.window, self.slot, self.all = window, slot, int((share * many).sum())
+        self.classes = []
+        for s in np.unique(share).tolist():
+            at = share == s
+            n, m = total[at], many[at]
+            self.classes.append((s, int(many[share < s].sum()), n, np.append(0, np.cumsum(m)), np.append(0, np.cumsum(m * n))))
+
+    def _due(self, share, rounds) -> np.ndarray:
+        """Slots due by the end of a round."""
+        return rounds * (self.window * share) // (self.all * self.slot)
+
+    def place(self, queue: np.ndarray, share: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The place in the packed stream of the first token of each slot, for
+        the queue's place in the order, its share and the slot's number."""
+        rounds = -(-((number + 1) * (self.all * self.slot)) // (self.window * share))
+        out = (number - self._due(share, rounds - 1)) * self.slot
+        for s, start, n, queues, tokens in self.classes:
+
+            def served(r, upto, s=s, n=n, queues=queues, tokens=tokens):
+                """Tokens that the class's first ``upto`` queues served by the end of round r."""
+                most = self._due(s, r) * self.slot
+                k = np.searchsorted(n, most)  # sizes that are used up, as far as ``upto`` goes
+                j = np.searchsorted(queues, upto, side="right") - 1
+                low = np.minimum(k, j)
+                size = n[np.minimum(low, len(n) - 1)]
+                # the size that ``upto`` ends in is used up in part of its queues
+                used = np.where(k > j, np.minimum(size, most), most)
+                return tokens[low] + (upto - queues[low]) * used
+
+            upto = np.clip(queue - start, 0, queues[-1])
+            # the queue's own slots of earlier rounds are counted by the round before
+            out += served(rounds - 1, np.broadcast_to(queues[-1], upto.shape)) + served(rounds, upto) - served(rounds - 1, upto)
         return out
 
 
@@ -74,10 +86,10 @@ def _tokens(path: str, end_id: int):
     return run
 
 
-def _pieces(schedule: Schedule, names: dict[str, int], wide: int):
+def _pieces(schedule: Schedule, wide: int):
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         slot, window = schedule.slot, schedule.window
-        queue = np.fromiter((names[q] for q in batch.column("queue").to_pylist()), np.int64, len(batch))
+        queue, share = batch.column("place").to_numpy(), batch.column("share").to_numpy()
         begin = batch.column("base").to_numpy() + batch.column("at").to_numpy()
         count = batch.column("n").to_numpy()
         first, last = begin // slot, (begin + count - 1) // slot
@@ -86,7 +98,7 @@ def _pieces(schedule: Schedule, names: dict[str, int], wide: int):
         number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[row]
         a = np.maximum(begin[row], number * slot)
         size = np.minimum(begin[row] + count[row], (number + 1) * slot) - a
-        at = schedule.place(queue[row], number) + a - number * slot
+        at = schedule.place(queue[row], share[row], number) + a - number * slot
         # a queue's slots that follow each other in the stream are one piece
         join = np.zeros(len(at), bool)
         join[1:] = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + size[:-1])
@@ -121,7 +133,6 @@ def pack(
     slot: int = 128,
     target: Mapping[str, float] | None = None,
     end_id: int = 0,
-    max_queues: int = 1024,
 ) -> DataFrame:
     """Packs whole documents into windows that follow the sources' target shares.
 
@@ -130,9 +141,9 @@ def pack(
     a doc_id are packed each. target: share of each source (default: its share
     of all tokens, so that all queues end together); sources without a target
     get their natural share of what is left, or 1 in ``SHARES``. A null source
-    is a queue of its own. Beyond ``max_queues`` sources, sources share queues
-    by hash, so that the schedule's size is bounded. When a queue ends, the
-    others fill its part.
+    is a queue of its own. Any number of sources keep queues and shares of their
+    own: the schedule has one entry for each different share and total. When a
+    queue ends, the others fill its part.
 
     Returns pieces: doc_id, queue, start (ids of the document before the piece),
     length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
@@ -140,28 +151,35 @@ def pack(
     window in all. An empty table gives no rows.
 
     Tokens are written once to the shared folder; places come from sums by
-    (task, source), which are few, and no text or id is shuffled.
+    (task, source). Ids are shuffled only where these sums are more than a
+    broadcast holds (``store.BROADCAST_ROWS``); texts never are.
     """
     source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"))
-    if named.select("queue").distinct().limit(max_queues + 1).count() > max_queues:
-        named = named.withColumn("queue", F.concat(F.lit("h"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string")))
     wide = Ids(tokenizer).dtype.itemsize
     kept = written(named.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, queue string, part int, at long, n long, ids binary"), "tokens")
     sums = written(kept.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
-    names = {q: i for i, q in enumerate(sorted(totals))}
-    total = np.array([totals[q] for q in names], np.int64)
-    want = None
+    totals = written(sums.groupBy("queue").agg(F.sum("n").alias("total")), "totals")
+    every = totals.agg(F.sum("total")).head()[0] or 0
+    want = F.col("total") / F.lit(float(max(every, 1)))
     if target is not None:
-        natural, given = total / max(total.sum(), 1), {("s" + k): v for k, v in target.items()}
-        rest = max(0.0, 1 - sum(given.get(q, 0) for q in names))
-        loose = sum(natural[i] for q, i in names.items() if q not in given) or 1
-        want = np.array([given.get(q, rest * natural[i] / loose) for q, i in names.items()])
-    schedule = Schedule(total, shares(total, want), window, slot)
+        given = docs.sparkSession.createDataFrame([("s" + k, float(v)) for k, v in target.items()], "queue string, given double")
+        totals = totals.join(F.broadcast(given), "queue", "left")
+        asked = totals.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), want))).head()
+        want = F.coalesce("given", want * max(0.0, 1 - (asked[0] or 0.0)) / (asked[1] or 1.0))
+    totals = totals.withColumn("want", want)
+    of_all = max(totals.agg(F.sum("want")).head()[0] or 0.0, 1e-300)
+    totals = written(totals.select("queue", "total", F.greatest(F.lit(1), F.bround(F.col("want") / of_all * SHARES)).cast("long").alias("share")), "shares")
+    sizes = [tuple(r) for r in totals.groupBy("share", "total").agg(F.count("*").alias("many")).orderBy("share", "total").collect()]  # different ones only
+    schedule = Schedule(sizes, window, slot)
+    first = np.append(0, np.cumsum([m for _, _, m in sizes])).tolist()
+    groups = docs.sparkSession.createDataFrame([(s, n, at) for (s, n, _), at in zip(sizes, first)], "share long, total long, first long")
+    inside = F.row_number().over(Window.partitionBy("share", "total").orderBy("queue"))
+    placed = totals.join(F.broadcast(groups), ["share", "total"]).select("queue", "share", (F.col("first") + inside - 1).alias("place"))
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(sums.select("queue", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "bases")
-    return kept.join(sized(bases), ["queue", "part"]).select("doc_id", "queue", "at", "n", "ids", "base").mapInArrow(
-        _pieces(schedule, names, wide),
+    bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    bases = written(bases.join(placed, "queue"), "bases")
+    return kept.join(sized(bases), ["queue", "part"]).select("doc_id", "queue", "at", "n", "ids", "base", "place", "share").mapInArrow(
+        _pieces(schedule, wide),
         "doc_id long, queue string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )
