@@ -68,3 +68,20 @@ def test_json_stream_and_paths(spark):
     out, held = feed("", "replied to EMAIL", False, {"EMAIL_1": "a@b.c"})
     assert (out, held) == ("replied to ", "EMAIL") and feed(held, "_1 now", True, {"EMAIL_1": "a@b.c"}) == ("a@b.c now", "")
     assert _one(spark, "a/../b/./c", convo.safe_path) == "b/c" and _one(spark, "../x", convo.safe_path) is None
+
+
+def test_json_documents(spark):
+    """Leaves of documents are pseudonymised with collected spans, reversed and audited."""
+    docs = ['{"z":"x@y.com","a":["a@b.com, x@y.com",{"role":"r@o.le"}],"n":1}', "[]", "no json"]
+    rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(docs)], "session_id string, seq long, doc string")
+    known = jsonwalk.mint_json(rows)
+    safe = jsonwalk.pseudonymise_json(rows, known)
+    got = {r["seq"]: r for r in safe.collect()}
+    assert [got[i]["safe"] for i in range(3)] == ['{"a":["EMAIL_1, EMAIL_2",{"role":"r@o.le"}],"n":1,"z":"EMAIL_2"}', "[]", "no json"]
+    assert [(x["start"], x["end"], x["replacement"]) for x in got[0]["replaced"]] == [(0, 7, "EMAIL_1"), (9, 16, "EMAIL_2"), (0, 7, "EMAIL_2")]
+    assert [got[i]["n_leaves"] for i in range(3)] == [2, 0, 0] and got[1]["replaced"] == []
+    back = {r["seq"]: r["restored"] for r in jsonwalk.reverse_json(safe, known, "safe").collect()}
+    assert back == {0: '{"a":["a@b.com, x@y.com",{"role":"r@o.le"}],"n":1,"z":"x@y.com"}', 1: "[]", 2: "no json"}
+    reply = spark.createDataFrame([("s", 1, '{"b":"EMAIL_1 EMAIL_9","a":"q@r.io"}'), ("s", 2, "{}")], "session_id string, seq long, doc string")
+    found = {r["seq"]: [(x["text"], x["start"], x["type"]) for x in r["findings"]] for r in jsonwalk.findings_json(reply, known).collect()}
+    assert found == {1: [("q@r.io", 0, "likely_leaked"), ("EMAIL_9", 8, "unknown_pseudonym")], 2: []}

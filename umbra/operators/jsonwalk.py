@@ -1,13 +1,21 @@
-"""String leaves of JSON: flattened, rewritten and put back."""
+"""String leaves of JSON: flattened, rewritten and put back.
+
+The operators over documents treat each leaf as a text of its own, whose ``seq``
+is the document's with the leaf's number in visiting order; offsets are relative
+to the leaf. Bad JSON has no leaves and comes back as it is.
+"""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import audit, entities, rewrite
+from .detect import detect
+
 RESERVED, DEPTH = ("system", "role"), 32
 LEAF = "array<struct<pointer:string,text:string>>"
 
@@ -57,3 +65,44 @@ def leaves(doc: Column) -> Column:
 def rebuild(doc: Column, texts: Column) -> Column:
     """The document with its leaves replaced in visiting order."""
     return F.pandas_udf(_rebuilt, "string")(doc, texts)
+
+
+def leaf_rows(rows: DataFrame, doc: str = "doc") -> DataFrame:
+    """session_id, seq (the document's seq and the leaf's number), pointer, text and its spans."""
+    each = rows.select("session_id", "seq", leaves(F.col(doc)).alias("leaves")).select("session_id", "seq", F.posexplode("leaves").alias("leaf", "x"))
+    return each.select("session_id", F.struct("seq", "leaf").alias("seq"), "x.pointer", "x.text").withColumn("spans", detect(F.col("text")))
+
+
+def mint_json(rows: DataFrame, prior: DataFrame | None = None, doc: str = "doc") -> DataFrame:
+    """Entities of the documents' leaves, first seen, first numbered; ``prior`` goes on."""
+    return entities.mint(entities.explode_spans(leaf_rows(rows, doc)), prior)
+
+
+def _joined(rows: DataFrame, done: DataFrame, column: str) -> DataFrame:
+    """rows with ``leaf_values``, the column of their leaves in visiting order."""
+    one = done.select("session_id", "seq.seq", "seq.leaf", F.col(column).alias("v")).groupBy("session_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf", "v"))), lambda x: x["v"]).alias("leaf_values"))
+    return rows.join(one, ["session_id", "seq"], "left")
+
+
+def pseudonymise_json(rows: DataFrame, known: DataFrame, doc: str = "doc") -> DataFrame:
+    """rows with ``safe``, the document with pseudonyms in its leaves, ``n_leaves``
+    and ``replaced``, the leaves' replacements in visiting order."""
+    done = rewrite.pseudonymise(leaf_rows(rows, doc), known).withColumn("v", F.struct("safe", "replaced"))
+    out, v = _joined(rows, done, "v"), F.col("leaf_values")
+    safe = rebuild(F.col(doc), F.transform(v, lambda x: x["safe"]))
+    replaced = F.flatten(F.transform(v, lambda x: x["replaced"]))
+    none = F.array().cast(done.schema["replaced"].dataType)
+    return out.withColumns({"safe": safe, "n_leaves": F.coalesce(F.array_size(v), F.lit(0)), "replaced": F.coalesce(replaced, none)}).drop("leaf_values")
+
+
+def reverse_json(rows: DataFrame, known: DataFrame, doc: str = "doc", out: str = "restored") -> DataFrame:
+    """Adds ``out``: the document with its session's first-seen surfaces in its leaves."""
+    done = rewrite.reverse(leaf_rows(rows, doc).drop("spans"), known)
+    return _joined(rows, done, "restored").withColumn(out, rebuild(F.col(doc), F.col("leaf_values"))).drop("leaf_values")
+
+
+def findings_json(rows: DataFrame, known: DataFrame, doc: str = "doc") -> DataFrame:
+    """Adds ``findings`` of all leaves, leaf by leaf."""
+    done = audit.findings(leaf_rows(rows, doc).drop("spans"), known)
+    found = F.coalesce(F.flatten("leaf_values"), F.expr(f"cast(array() as array<{audit.FINDING}>)"))
+    return _joined(rows, done, "findings").withColumn("findings", found).drop("leaf_values")

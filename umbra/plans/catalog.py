@@ -298,11 +298,40 @@ def json_flat(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@_query()
+def _json(rows, text: str = "text") -> DataFrame:
+    doc = F.to_json(F.struct(F.col(text).alias("body"), F.lit("user").alias("role"), F.struct(F.col(text).alias("note")).alias("meta")))
+    return rows.withColumn("doc", doc)
+
+
+def _safe_json(spark, d) -> DataFrame:
+    rows = _json(prompts(spark, d))
+    return jsonwalk.pseudonymise_json(rows, jsonwalk.mint_json(rows))
+
+
+def _json_sql(text: str) -> str:
+    return f"""'{{"body":' || to_json({text}) || ',"meta":{{"note":' || to_json({text}) || '}},"role":"user"}}'"""
+
+
+@_query(f"WITH {_SAFE} SELECT session_id, seq, {_json_sql('safe')} AS doc, CAST(2 AS INT) AS n FROM safe")
 def pseudonymize_json_flat(spark, d):
-    doc = F.to_json(F.struct(F.col("text").alias("body"), F.lit("user").alias("role"), F.struct(F.col("text").alias("note")).alias("meta")))
-    rows = prompts(spark, d).withColumn("doc", doc).withColumn("leaves", jsonwalk.leaves(F.col("doc")))
-    return rows.select("session_id", "seq", jsonwalk.rebuild(F.col("doc"), F.transform("leaves", lambda x: F.upper(x["text"]))).alias("doc"), F.size("leaves").alias("n"))
+    return _safe_json(spark, d).select("session_id", "seq", F.col("safe").alias("doc"), F.col("n_leaves").alias("n"))
+
+
+@_query()
+def pseudonymize_json_collect(spark, d):
+    return _safe_json(spark, d).select("session_id", "seq", F.explode("replaced").alias("x")).select("session_id", "seq", "x.start", "x.end", "x.kind", "x.replacement")
+
+
+@_query(f"WITH {_SAFE} SELECT session_id, seq, {_json_sql('text')} AS doc FROM safe")
+def reverse_map_json(spark, d):
+    rows = _json(prompts(spark, d))
+    return jsonwalk.reverse_json(_safe_json(spark, d), jsonwalk.mint_json(rows), "safe").select("session_id", "seq", F.col("restored").alias("doc"))
+
+
+@_query()
+def audit_json(spark, d):
+    found = jsonwalk.findings_json(_json(replies(spark, d)), _minted(spark, d))
+    return found.select("session_id", "seq", F.size("findings").alias("findings"), audit.verdict(F.col("findings"), "redact").alias("verdict"))
 
 
 @_query("WITH l AS (SELECT user_id, max(event_id) AS last_used FROM events GROUP BY user_id) SELECT 's' || CAST(user_id AS STRING) AS session_id, last_used, (SELECT max(event_id) FROM events) - last_used >= 300 AS evicted FROM l")
