@@ -85,3 +85,8 @@ def test_json_documents(spark):
     reply = spark.createDataFrame([("s", 1, '{"b":"EMAIL_1 EMAIL_9","a":"q@r.io"}'), ("s", 2, "{}")], "session_id string, seq long, doc string")
     found = {r["seq"]: [(x["text"], x["start"], x["type"]) for x in r["findings"]] for r in jsonwalk.findings_json(reply, known).collect()}
     assert found == {1: [("q@r.io", 0, "likely_leaked"), ("EMAIL_9", 8, "unknown_pseudonym")], 2: []}
+
+
+def test_unicode_digits(spark):
+    """An address in full-width digits is found where nothing else is."""
+    assert [x["kind"] for x in _one(spark, "at １０.０.０.１ now", detect.detect)] == ["IP"]

@@ -57,7 +57,7 @@ def detect(text: Column, patterns: Sequence[tuple[str, str]] = SPANS) -> Column:
     resolved. Null text gives no spans."""
     text = F.coalesce(text, F.lit(""))
     found = F.concat(*(_found(text, kind, unicode(p), i) for i, (kind, p) in enumerate(patterns)))
-    quick = F.contains(text, F.lit("@")) | F.contains(text, F.lit("/")) | text.rlike(r"[0-9]\.[0-9]|[0-9a-fA-F]-[0-9a-fA-F]") if patterns is SPANS else F.lit(True)
+    quick = F.contains(text, F.lit("@")) | F.contains(text, F.lit("/")) | text.rlike(unicode(r"\d\.\d|[0-9a-fA-F]-[0-9a-fA-F]")) if patterns is SPANS else F.lit(True)
     return F.when(quick, _resolved(found)).otherwise(F.expr(EMPTY))
 
 
