@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -172,6 +173,17 @@ def test_derivatives(spark):
         assert head["WARC-Record-ID"] == r["record_id"] and digest(block) == head["WARC-Block-Digest"]
 
 
+def test_derivatives_keep_source_headers(spark):
+    """Both serialised records hold the source's digest and headers, repeated ones too."""
+    head = "HTTP/1.1 200 OK\r\nVia: a\r\nVia: b\r\nX: 1\r\n"
+    records = responses(spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")).withColumn("http_headers", F.lit(head))
+    made = derivatives(records)
+    (about,) = [json.loads(r["block"]) for r in made.collect() if r["record_type"] == "metadata"]
+    assert about["headers"] == {"Via": ["a", "b"], "X": "1"}
+    found = [h for r in files(made).collect() for h, _ in parse(bytes(r["warc"]))]
+    assert len(found) == 2 and all(json.loads(h["WARC-Source-Headers"]) == head and h["WARC-Source-Payload-Digest"] == digest(b"<p>x") for h in found)
+
+
 def test_mixing(spark):
     found = solve({"a": 1000, "b": 10}, max_repeats=4)
     assert abs(found.weights["b"] * found.budget / 10 - 4) < 0.01 and abs(sum(tempered({"a": 5, "b": 1}, 0.3).values()) - 1) < 1e-12

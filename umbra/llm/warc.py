@@ -119,9 +119,11 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for r in part.to_pylist():
                 page, head, uri = r["payload"] or "", r["http_headers"] or "", r["target_uri"] or ""
-                source = dict(k.partition(":")[::2] for k in head.split("\r\n")[1:] if k)
+                source: dict[str, list[str]] = {}
+                for name, _, value in (k.partition(":") for k in head.split("\r\n")[1:] if k):
+                    source.setdefault(name, []).append(value.strip())
                 of = digest(page.encode("utf-8", "surrogatepass"))
-                about = {"title": title(page), "links": links(page, uri), "status": head.split("\r\n", 1)[0], "headers": {k: v.strip() for k, v in source.items()}, "payload_digest": of, "payload_length": len(page.encode("utf-8", "surrogatepass"))}
+                about = {"title": title(page), "links": links(page, uri), "status": head.split("\r\n", 1)[0], "headers": {k: v if len(v) > 1 else v[0] for k, v in source.items()}, "payload_digest": of, "payload_length": len(page.encode("utf-8", "surrogatepass"))}
                 for kind, mime, block in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", plain_text(page))):
                     data = block.encode("utf-8", "surrogatepass")
                     rows.append((r["page_id"], kind, record_id(kind, r["record_id"] or "", data), r["record_id"], uri, r["date"], mime, head, of, digest(data), len(data), block))
@@ -152,6 +154,8 @@ def files(derived: DataFrame) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"] or ""), ("WARC-Target-URI", r["target_uri"] or ""), ("WARC-Date", r["date"] or ""), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"])]
+                # the source's own digest and headers, the latter as a JSON string on one line
+                headers += [("WARC-Source-Payload-Digest", r["source_payload_digest"]), ("WARC-Source-Headers", json.dumps(r["source_headers"]))]
                 out.append(serialise(headers, r["block"].encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("record_id"), pa.array(out, pa.binary())], names=["page_id", "record_id", "warc"])
 
