@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokens import Ids
+from .tokens import ids_of
 
 FLAT = "file int, block int, ids binary, first long, docs array<long>"
 
 
 def _flat(path: str, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, file, held, size, number, first = Ids(path, ordinary=True), TaskContext.get().partitionId(), [], 0, 0, 0
-        end = np.array([end_id], ids_of.dtype)
+        encode, file, held, size, number, first = ids_of(path, True), TaskContext.get().partitionId(), [], 0, 0, 0
+        end = np.array([end_id], encode.dtype)
 
         def row(blocks, docs=None):
             k = len(blocks)
@@ -38,7 +38,7 @@ def _flat(path: str, end_id: int, block: int):
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for text in batch.column(1):
-                held += [ids_of(text.as_py()), end]
+                held += [encode(text.as_py()), end]
                 size += len(held[-2]) + 1
                 if size >= 16 * block:
                     run_ = np.concatenate(held)
@@ -116,4 +116,4 @@ def document_tokens(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1
     """doc_id and n_tokens of every row, by way of flat files: file, ordinal,
     start and ended come along. Rows that repeat are counted each."""
     files, order = flat_files(docs, tokenizer, end_id, block)
-    return count_tokens(files, end_id, Ids(tokenizer).dtype.itemsize).join(order, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    return count_tokens(files, end_id, ids_of(tokenizer).dtype.itemsize).join(order, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")

@@ -187,6 +187,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_char
     repeated = written(found.groupBy("key").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs), "lines")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if repeated.limit(most_shared + 1).count() <= most_shared:
+        twice.destroy()
         shared = {xxhash.xxh3_128_digest(bytes(r["key"])): r["first"] for r in repeated.select("key", "first").toLocalIterator()}
         return docs.mapInArrow(_apply(schema, keep, spark.sparkContext.broadcast(shared)), schema)
     of_text = docs.select("text").mapInArrow(_by_text(twice, min_chars), "text_md5 string, key binary").distinct()

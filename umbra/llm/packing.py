@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import sized, written
-from .tokens import Ids
+from .tokens import ids_of
 
 SHARES = 1 << 16
 
@@ -69,11 +69,11 @@ class Schedule:
 
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, sums = Ids(path), TaskContext.get().partitionId(), {}
+        encode, part, sums = ids_of(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             queues, starts, counts, blobs = batch.column("queue").to_pylist(), [], [], []
             for queue, text in zip(queues, batch.column("text"), strict=True):
-                ids = ids_of(text.as_py())
+                ids = encode(text.as_py())
                 blobs.append(np.append(ids, np.array([end_id], ids.dtype)).tobytes())
                 starts.append(sums.get(queue, 0))
                 counts.append(len(ids) + 1)
@@ -156,7 +156,7 @@ def pack(
     """
     source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"))
-    wide = Ids(tokenizer).dtype.itemsize
+    wide = ids_of(tokenizer).dtype.itemsize
     kept = written(named.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, queue string, part int, at long, n long, ids binary"), "tokens")
     sums = written(kept.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
     totals = written(sums.groupBy("queue").agg(F.sum("n").alias("total")), "totals")

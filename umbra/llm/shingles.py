@@ -34,18 +34,22 @@ def _factors(n: int) -> np.ndarray:
 _BYTE = mix64(np.arange(1000, 1256, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _PLACE = _factors(1 << 12)
 _WORD = _factors(1 << 6)[50:]
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOWER = np.arange(256, dtype=np.uint8) + (np.isin(np.arange(256), np.arange(65, 91)) * 32).astype(np.uint8)
 
+#: Bytes that are hashed at once: some 40 bytes of memory are taken for each.
+STRETCH = 1 << 18
 
-def _places(n: int) -> np.ndarray:
-    global _PLACE
-    if n > len(_PLACE):
-        _PLACE = _factors(1 << int(n - 1).bit_length())
-    return _PLACE
 
+def _at_place(place: np.ndarray) -> np.ndarray:
+    """The factor of each place in a word; those of very long words aren't kept."""
+    if not len(place) or place.max() < len(_PLACE):
+        return _PLACE[place]
+    return mix64((place.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
-def slices(batch: pa.RecordBatch, most: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about ``most`` bytes of text, as hashing takes some
-    tens of bytes for each; a longer text is a part alone."""
+
+def slices(batch: pa.RecordBatch, most: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of text; a longer text is a part alone."""
     size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
@@ -65,26 +69,42 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and
-    the offset of each text's first word (one more offset than texts)."""
+    the offset of each text's first word (one more offset than texts). Bytes are
+    read in stretches; a word that goes on in the next one adds to its sum."""
     raw, off = _buffer(texts)
-    if not len(raw):
-        return np.zeros(0, _U), np.zeros(len(off), np.int64)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    first = np.zeros(len(raw) + 1, bool)
-    first[off] = True
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | first[1:-1]
-    at = np.flatnonzero(starts)
-    if not len(at):
+    places, sums, sizes, open_ = [], [], [], False
+    for a in range(0, len(raw), STRETCH):
+        part = raw[a : a + STRETCH]
+        inside = ~_SPACE[part]
+        new = inside.copy()
+        new[1:] &= ~inside[:-1]
+        new[0] &= not open_
+        heads = off[np.searchsorted(off, a) : np.searchsorted(off, a + len(part))] - a
+        new[heads] = inside[heads]
+        at, goes_on = np.flatnonzero(new), bool(inside[0] and not new[0])
+        open_ = bool(inside[-1])
+        if goes_on:
+            at = np.append(0, at)
+        if not len(at):
+            continue
+        data = _LOWER[part[inside]]
+        begin = np.cumsum(inside, dtype=np.int32)[at] - 1
+        size = np.diff(np.append(begin, len(data)))
+        place = np.arange(len(data)) - np.repeat(begin, size)
+        if goes_on:
+            place[: size[0]] += sizes[-1][-1]
+        total = np.add.reduceat(_BYTE[data] * _at_place(place), begin)
+        if goes_on:
+            sums[-1][-1:] += total[:1]
+            sizes[-1][-1:] += size[:1]
+            at, total, size = at[1:], total[1:], size[1:]
+        if len(at):
+            places.append(at + a)
+            sums.append(total)
+            sizes.append(size)
+    if not places:
         return np.zeros(0, _U), np.zeros(len(off), np.int64)
-    data = raw[inside]
-    upper = (data >= 65) & (data <= 90)
-    data = data + (upper.view(np.uint8) << 5)
-    begin = np.cumsum(inside, dtype=np.int64)[at] - 1
-    size = np.diff(np.append(begin, len(data)))
-    place = np.arange(len(data)) - np.repeat(begin, size)
-    sums = np.add.reduceat(_BYTE[data] * _places(int(size.max()))[place], begin)
-    return mix64(sums + size.astype(_U)), np.searchsorted(at, off)
+    return mix64(np.concatenate(sums) + np.concatenate(sizes).astype(_U)), np.searchsorted(np.concatenate(places), off)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:

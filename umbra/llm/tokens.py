@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import lru_cache
 
 import numpy as np
 
@@ -55,3 +56,9 @@ class Ids:
             self.hf = Tokenizer.from_file(self.path)
             self.hf.encode_special_tokens = self.ordinary
         return np.array(self.hf.encode(text, add_special_tokens=False).ids, self.dtype)
+
+
+@lru_cache(maxsize=2)
+def ids_of(path: str, ordinary: bool = False) -> Ids:
+    """One encoder for all tasks of a process."""
+    return Ids(path, ordinary)
