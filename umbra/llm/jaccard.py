@@ -22,28 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - as pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import shingle_sets
-from .store import sized, written
+from .shingles import mix64, shingle_sets, slices
+from .store import shared, sized, spread_join, written
 
 #: Most shingles that are known as frequent, and the least count to be one.
 FREQUENT, FREQUENT_FROM = 1 << 16, 1000
-SLICE_BYTES = 8_000_000
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of bounded text; a longer text is a part alone."""
-    size = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(size) // SLICE_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
+#: Shingles of a bucket and most partitions that buckets are dealt to; documents that are verified beside one hub at once.
+BUCKET, PARTITIONS, BESIDE = 1_000_000, 1 << 15, 32
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -59,7 +49,7 @@ def _sizes(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 sets = shingle_sets(part.column("text"), width)
                 seen, count = np.unique(np.concatenate(sets), return_counts=True)
                 many = count >= max(8, len(sets) // 500)
@@ -89,7 +79,7 @@ def _first_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 ids, keep = part.column("doc_id").to_pylist(), []
                 fresh = part.take(pa.array([i for i, node in enumerate(ids) if node not in seen], pa.int64()))
                 rows = zip(fresh.column("doc_id").to_pylist(), fresh.column("class").to_pylist(), shingle_sets(fresh.column("text"), width), strict=True)
@@ -119,7 +109,7 @@ def _deal(width: int, percent: int, many: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = frequent.value
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 nodes, sets = [], []
                 for node, grams in _chosen(part, width):
                     nodes.append(node)
@@ -127,7 +117,7 @@ def _deal(width: int, percent: int, many: int, frequent):
                 if not nodes:
                     continue
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                grams, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                grams, own = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
                 at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
                 often = known[at] == grams if len(known) else np.zeros(len(grams), bool)
                 loose = np.bincount(own[~often], minlength=len(sets))
@@ -140,10 +130,12 @@ def _deal(width: int, percent: int, many: int, frequent):
                 reach = loose[o_own] + place < prefix_length(size[o_own], percent)
                 o_own, o_gram, o_rank = o_own[reach], o_gram[reach], o_rank[reach]
                 grams, own = grams[~often], own[~often]
-                bucket = ((grams >> np.uint64(32)) % np.uint64(many)).astype(np.int64)
-                home = (xxh(node) % np.uint64(many)).astype(np.int64)
+                del sets, at, often
+                bucket = ((grams >> np.uint64(32)) % np.uint64(many)).astype(np.int32)
+                home = (mix64(node.view(np.uint64)) % np.uint64(many)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 grams, own, bucket = grams[order], own[order], bucket[order]
+                del order
                 cut = np.searchsorted(bucket, np.arange(many + 1))
                 rows: list[list] = [[] for _ in range(6)]
                 for k in range(many):
@@ -164,12 +156,6 @@ def _deal(width: int, percent: int, many: int, frequent):
     return run
 
 
-def xxh(node: np.ndarray) -> np.ndarray:
-    from .shingles import mix64
-
-    return mix64(node.view(np.uint64))
-
-
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows come sorted by bucket; one bucket is held at a time."""
     at, held = None, []
@@ -189,7 +175,7 @@ def _count(many: int):
     """Counts a bucket's shingles and sends those of two documents or more home."""
 
     def send(node, gram, often, size, loose) -> Iterator[pa.RecordBatch]:
-        home = (xxh(node) % np.uint64(many)).astype(np.int64)
+        home = (mix64(node.view(np.uint64)) % np.uint64(many)).astype(np.int64)
         for k in np.unique(home).tolist():
             at = home == k
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (node, gram, often, size, loose))], names=["bucket", "node", "gram", "often", "size", "loose"])
@@ -248,7 +234,7 @@ def _prefixes(percent: int):
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 rows = list(_chosen(part, width))
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([g.tobytes() for _, g in rows], pa.binary())], names=["node", "grams"])
 
@@ -285,10 +271,20 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _verify(percent: int):
+    """Rows come by hub and block, the hub's own set (node null) first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, None
         for batch in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, b = [], []
+            for hub, node, grams in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), batch.column("grams"), strict=True):
+                y = np.frombuffer(grams.as_buffer(), np.uint64)
+                if node is None:
+                    at, x = hub, y.copy()
+                elif at == hub and linked(x, y, percent):
+                    a.append(min(hub, node))
+                    b.append(max(hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -300,10 +296,6 @@ def _passing(percent: int, pair):
     return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND 1 + least({n} - {pos}, {m} - {qos}) - 1 >= {need}")
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """Links documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -325,8 +317,10 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     # one class of each id, one node of each class
     ids = rows.filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("class").alias("class"), F.count("*").alias("copies"))
     ids = written(ids, "ids")
-    nodes = ids.groupBy("class").agg(F.min("doc_id").alias("node"))
-    of_node = written(ids.join(nodes, "class").select("doc_id", "node", "class", "copies"), "nodes")
+    nodes = written(ids.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("ids")).filter("ids > 1"), "classes")
+    several = written(spread_join(ids, nodes, "class", "ids").select("doc_id", "node", "class", "copies"), "several")
+    single = ids.join(sized(several.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("node"), "class", "copies")
+    of_node = written(single.unionByName(several), "nodes")
     # one row of each node: copies go, and of rows that repeat an id one of its class stays
     out = of_node.filter("doc_id <> node or copies > 1").select("doc_id")
     again = of_node.filter("doc_id = node and copies > 1").select("doc_id", "class")
@@ -337,31 +331,41 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     top = first.filter("kind = 1").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(FREQUENT_FROM, total["rows"] // 500)).orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
     top = sorted(((r["gram"] % (1 << 64)), k) for k, r in enumerate(reversed(top)))
     known = np.array([g for g, _ in top], np.uint64), np.array([k for _, k in top], np.int64)
-    many = max(12, -(-(total["n"] or 0) // 2_000_000))
-    dealt = chosen.mapInArrow(_deal(width, percent, many, spark.sparkContext.broadcast(known)), PACKED)
-    counted = dealt.repartition(many, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(many), "bucket int, node binary, gram binary, often binary, size binary, loose binary")
-    prefix = written(counted.repartition(many, "bucket").sortWithinPartitions("bucket").mapInArrow(_prefixes(percent), "gram long, node long, n long, pos long"), "prefix")
+    many = max(12, -(-(total["n"] or 0) // BUCKET))
+    parts = min(many, PARTITIONS)
+    with shared(spark, known) as frequent:
+        dealt = chosen.mapInArrow(_deal(width, percent, many, frequent), PACKED)
+        counted = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(many), "bucket int, node binary, gram binary, often binary, size binary, loose binary")
+        prefix = written(counted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_prefixes(percent), "gram long, node long, n long, pos long"), "prefix")
     # only shingles in two prefixes or more can list a pair
-    hubs = prefix.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    prefix = written(prefix.join(hubs, "gram").select("gram", "node", "n", "pos", "hub"), "prefix")
+    hubs = written(prefix.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1"), "hubs")
+    prefix = written(spread_join(prefix, hubs, "gram", "c").select("gram", "node", "n", "pos", "hub"), "prefix")
     hub = prefix.filter("node <> hub.node").filter(_passing(percent, (("n", "pos"), ("hub.n", "hub.pos"))))
-    tested = written(_pairs(hub.select(F.col("node").alias("p"), F.col("hub.node").alias("q"))), "pairs")
+    tested = written(hub.select(F.col("hub.node").alias("hub"), "node").distinct(), "pairs")
     wanted = written(prefix.select(F.col("node").alias("doc_id")).distinct(), "wanted")
     sets = written(chosen.join(sized(wanted), "doc_id", "left_semi").mapInArrow(_set_rows(width), "node long, grams binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-        return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+        """Pairs (hub, node) that link. A hub's set goes once to each block of its partners."""
+        blocks = written(pairs.groupBy("hub").agg(F.count("*").alias("c")).select("hub", "c", F.ceil(F.col("c") / BESIDE).cast("int").alias("many")), "blocks")
+        each = spread_join(pairs, blocks, "hub", "c").select("hub", "node", F.pmod(F.xxhash64("node"), "many").cast("int").alias("block"))
+        own = sets.join(sized(blocks).withColumnRenamed("hub", "node"), "node").select(F.col("node").alias("hub"), F.lit(None).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), "grams")
+        met = own.unionByName(each.join(sets, "node").select("hub", "node", "block", "grams"))
+        met = met.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("node").asc_nulls_first())
+        return written(met.select("hub", "node", "grams").mapInArrow(_verify(percent), "a long, b long"), "links")
 
     links = verified(tested)
     found = written(components(links), "components")
     # documents of a shingle's largest component needn't meet each other again
     now = written(prefix.join(found, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("c")), "prefix")
-    sides = now.groupBy("gram", "c").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("sides")).filter("sides > 1").drop("sides")
-    open_ = written(now.join(sides, "gram"), "open")
+    sides = now.groupBy("gram", "c").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("sides"), F.sum("m").alias("all")).filter("sides > 1").drop("sides")
+    open_ = written(spread_join(now, written(sides, "sides"), "gram", "all").drop("all"), "open")
     left = open_.filter("c <> main").select("gram", *(F.col(x).alias(f"{x}1") for x in ("node", "n", "pos", "c")))
     met = left.join(open_, (left["gram"] == open_["gram"]) & F.expr("c1 <> c AND (c = main OR node1 < node)") & _passing(percent, (("n1", "pos1"), ("n", "pos"))))
-    rest = written(_pairs(met.select(F.col("node1").alias("p"), F.col("node").alias("q"))).join(tested, ["a", "b"], "left_anti"), "pairs")
+    met = met.select(F.col("node1").alias("hub"), "node").distinct()
+    for x, y in (("hub", "node"), ("node", "hub")):  # those that met as hub and member don't again
+        met = met.join(tested.select(F.col("hub").alias(x), F.col("node").alias(y)), ["hub", "node"], "left_anti")
+    rest = written(met, "pairs")
     more = verified(rest)
     # links between components: each is one node now
     up, down = (found.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("a", "ca"), ("b", "cb")))
