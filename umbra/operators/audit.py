@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import wire
-from ..functions.patterns import PSEUDONYM
+from ..functions.patterns import PSEUDONYM, unicode
 from .detect import _found, detect
-from .rewrite import splice
+from .entities import looked_up
+from .rewrite import splice, tokens_of
 
 FINDING = "struct<start:int,end:int,text:string,type:string,kind:string>"
 
@@ -18,27 +19,45 @@ def _finding(x, type_: str, kind: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return _found(F.coalesce(text, F.lit("")), "", "(?U)" + PSEUDONYM, 0)
+    """Places of pseudonym-shaped tokens; their kind is their prefix."""
+    found = _found(F.coalesce(text, F.lit("")), "", unicode(PSEUDONYM), 0, "_")
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), F.split_part(x["text"], F.lit("_"), F.lit(1)).alias("kind"), x["text"].alias("text")))
+
+
+def found_in(text: Column, known: Column) -> Column:
+    """Findings of one reply by start, unknown pseudonyms first on ties. known: a
+    map that has the session's own pseudonyms among the reply's tokens, or null."""
+    unknown_ = F.transform(F.filter(tokens(text), lambda x: F.try_element_at(known, x["text"]).isNull()), lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("src"), x["end"].alias("end"), _finding(x, "unknown_pseudonym", x["kind"]).alias("f")))
+    leaked_ = F.transform(detect(text), lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("src"), x["end"].alias("end"), _finding(x, "likely_leaked", x["kind"]).alias("f")))
+    return F.transform(F.sort_array(F.concat(unknown_, leaked_)), lambda x: x["f"])
+
+
+def findings(replies: DataFrame, entities: DataFrame) -> DataFrame:
+    """replies (session_id, text and further columns) with ``findings`` by start,
+    unknown pseudonyms first on ties.
+
+    Each row is audited by itself, so rows may repeat in any column; a null
+    session is a session and null text has no findings.
+    """
+    named = looked_up(replies, tokens_of(F.col("text")), entities, "pseudonym", "canonical", "umbra_known")
+    return named.withColumn("findings", found_in(F.col("text"), F.col("umbra_known"))).drop("umbra_known")
+
+
+def _of(replies: DataFrame, type_: str) -> DataFrame:
+    return replies.select("session_id", "seq", F.explode_outer("findings").alias("finding")).filter(F.col("finding.type") == type_)
 
 
 def unknown(replies: DataFrame, entities: DataFrame) -> DataFrame:
     """session_id, seq and finding of each pseudonym that the session never minted."""
-    each = replies.select("session_id", "seq", F.explode(tokens(F.col("text"))).alias("x"))
-    return each.join(entities.select("session_id", F.col("pseudonym").alias("known")), (each["session_id"] == entities["session_id"]) & (F.col("x.text") == F.col("known")), "left_anti").select(each["session_id"], "seq", _finding(F.col("x"), "unknown_pseudonym", F.split_part(F.col("x.text"), F.lit("_"), F.lit(1))).alias("finding"))
+    return _of(findings(replies, entities), "unknown_pseudonym")
 
 
 def leaked(replies: DataFrame) -> DataFrame:
-    each = replies.select("session_id", "seq", F.explode(detect(F.col("text"))).alias("x"))
+    """session_id, seq and finding of each span that a reply holds in the clear."""
+    each = replies.select("session_id", "seq", F.explode_outer(detect(F.col("text"))).alias("x")).filter("x is not null")
     return each.select("session_id", "seq", _finding(F.col("x"), "likely_leaked", F.col("x.kind")).alias("finding"))
 
 
-def findings(replies: DataFrame, entities: DataFrame) -> DataFrame:
-    """replies with ``findings`` by start, unknown pseudonyms first on ties."""
-    all_ = unknown(replies, entities).withColumn("src", F.lit(0)).unionByName(leaked(replies).withColumn("src", F.lit(1)))
-    one = all_.groupBy("session_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("finding.start", "src", "finding.end", "finding"))), lambda x: x["finding"]).alias("findings"))
-    return replies.join(one, ["session_id", "seq"], "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as array<{FINDING}>)")))
-
-
 def with_learned(found: Column, learned: Column) -> Column:
     """Adds learned spans that hold no pseudonym and overlap nothing found so far."""
     fresh = F.filter(learned, lambda x: ~x["text"].rlike(PSEUDONYM))

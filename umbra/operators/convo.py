@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = "struct<text:string,done:boolean,finish_reason:string>"
 
@@ -26,18 +30,56 @@ def fold(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.filter(F.array(system, said), lambda x: x != ""), "\n\n").alias("system"), user.alias("user"))
 
 
-def anthropic_body(messages: DataFrame, model: str, max_tokens: int = 4096) -> DataFrame:
-    """System messages joined; every role but the assistant's is a user's."""
+def anthropic_body(messages: DataFrame, model: str, max_tokens: int = 4096, temperature: float | None = None, stop: Sequence[str] = ()) -> DataFrame:
+    """System messages joined; every role but the assistant's is a user's. What isn't given is left out."""
     rows = _ordered(messages)
     turns = F.transform(F.filter("m", lambda x: x["role"] != "system"), lambda x: F.struct(F.when(x["role"] == "assistant", "assistant").otherwise("user").alias("role"), x["text"].alias("content")))
-    system = F.nullif(F.array_join(F.transform(F.filter("m", lambda x: x["role"] == "system"), lambda x: x["text"]), "\n\n"), F.lit(""))
-    return rows.select("conv_id", F.to_json(F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(True).alias("stream"), turns.alias("messages"), system.alias("system"))).alias("body"))
+    system = F.filter("m", lambda x: x["role"] == "system")
+    said = F.when(F.size(system) > 0, F.array_join(F.transform(system, lambda x: x["text"]), "\n\n"))
+    more = [F.lit(temperature).alias("temperature")] if temperature is not None else []
+    more += [F.array(*map(F.lit, stop)).alias("stop_sequences")] if stop else []
+    return rows.select("conv_id", F.to_json(F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), F.lit(True).alias("stream"), turns.alias("messages"), said.alias("system"), *more)).alias("body"))
 
 
-def openai_body(messages: DataFrame, model: str, max_tokens: int = 2048) -> DataFrame:
+def openai_body(messages: DataFrame, model: str, max_tokens: int = 2048, temperature: float | None = None, stop: Sequence[str] = (), json_mode: bool = False) -> DataFrame:
+    """The messages as they are, a tool's with its call. What isn't given is left out."""
     rows = _ordered(messages)
     turns = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), F.when(x["role"] == "tool", x["tool_call_id"]).alias("tool_call_id")))
-    return rows.select("conv_id", F.to_json(F.struct(F.lit(model).alias("model"), turns.alias("messages"), F.lit(True).alias("stream"), F.lit(max_tokens).alias("max_tokens"))).alias("body"))
+    more = [F.lit(temperature).alias("temperature")] if temperature is not None else []
+    more += [F.array(*map(F.lit, stop)).alias("stop")] if stop else []
+    more += [F.struct(F.lit("json_object").alias("type")).alias("response_format")] if json_mode else []
+    return rows.select("conv_id", F.to_json(F.struct(F.lit(model).alias("model"), turns.alias("messages"), F.lit(True).alias("stream"), F.lit(max_tokens).alias("max_tokens"), *more)).alias("body"))
+
+
+def wrapped(messages: DataFrame, entities_: DataFrame, backend_id: str) -> DataFrame:
+    """Messages (session_id, conv_id, turn, role, text, spans, further columns) as a
+    wrapped backend sends them: pseudonymised, without a tier, by its own id."""
+    from .rewrite import pseudonymise
+
+    safe = pseudonymise(messages.drop("tier"), entities_)
+    return safe.withColumns({"text": F.col("safe"), "backend_id": F.lit(f"safe({backend_id})"), "pii": F.lit(True)}).drop("safe", "replaced", "spans")
+
+
+def answered(rows: DataFrame, model: Callable[[list[str]], list[str]], text_col: str = "text", out: str = "reply") -> DataFrame:
+    """Adds the first choice of an injected chat model for each text, in Arrow
+    batches. Null text is asked as empty; a batch that fails has null replies."""
+    kept = [f for f in rows.schema.fields if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            try:
+                said = list(model([t or "" for t in batch.column(text_col).to_pylist()]))
+            except Exception:  # noqa: BLE001 - a model that is down gives no answer
+                said = [None] * len(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(said, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def one_token(text: Column) -> Column:
+    """A stream of one token, which ends it."""
+    return F.array(F.struct(text.alias("text"), F.lit(True).alias("done"), F.lit("stop").alias("finish_reason")))
 
 
 def _frames(bodies: DataFrame) -> DataFrame:
@@ -79,6 +121,15 @@ def anthropic_tokens(bodies: DataFrame) -> DataFrame:
     return _until_done(out.filter("t OR done").drop("t"))
 
 
+def chunk_tokens(chunks: DataFrame) -> DataFrame:
+    """The same of chunks of a local engine: stream_id, seq, content, finish_reason."""
+    finish, text = F.nullif(F.col("finish_reason"), F.lit("")), F.coalesce("content", F.lit(""))
+    ends = F.when(finish.isin("stop", "length", "tool_use"), finish).when(finish.isNotNull(), "stop")
+    each = chunks.select("stream_id", "seq", F.explode(F.array(F.struct(F.lit(0).alias("i"), text.alias("text"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("finish_reason")), F.struct(F.lit(1).alias("i"), F.lit("").alias("text"), finish.isNotNull().alias("done"), ends.alias("finish_reason")))).alias("x"))
+    out = each.select("stream_id", (F.col("seq") * 2 + F.col("x.i")).alias("seq"), "x.text", "x.done", "x.finish_reason")
+    return _until_done(out.filter("done OR text <> ''"))
+
+
 def collect_text(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
 
@@ -88,7 +139,19 @@ def grep(files: DataFrame, needle: str, path: str = "path", text: str = "text")
     from .tiers import argmax, scores
 
     open_ = files.filter(F.contains(text, F.lit(needle)) & (argmax(scores(F.col(text))) != "secret"))
-    return open_.select(F.col(path).alias("path"), F.posexplode(F.split(text, "\n", -1)).alias("i", "x")).filter(F.contains("x", F.lit(needle))).select("path", (F.col("i") + 1).alias("line"), F.trim("x").alias("text"))
+    lines = open_.select(F.col(path).alias("path"), F.posexplode_outer(F.split(text, "\n", -1)).alias("i", "x"))
+    return lines.filter(F.contains("x", F.lit(needle))).select("path", (F.col("i") + 1).alias("line"), F.trim("x").alias("text"))
+
+
+def grep_safe(files: DataFrame, needle: str, session_id: str, prior: DataFrame | None = None) -> DataFrame:
+    """path, line and what a model may read of each hit, ``path:line: text``
+    pseudonymised within the session in order of path and line."""
+    from . import entities, rewrite
+    from .detect import detect
+
+    hits = grep(files, needle).withColumns({"session_id": F.lit(session_id), "seq": F.struct(F.col("path"), F.col("line")), "text": F.concat_ws("", F.col("path").cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), "text")})
+    rows = hits.withColumn("spans", detect(F.col("text")))
+    return rewrite.pseudonymise(rows, entities.mint(entities.explode_spans(rows), prior)).select("path", "line", "safe")
 
 
 def safe_path(path: Column) -> Column:
@@ -103,7 +166,9 @@ def safe_path(path: Column) -> Column:
 
 
 def loopback(host: Column) -> Column:
-    return F.lower(host).isin("localhost", "::1", "[::1]") | host.rlike(r"^127\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
+    """``localhost``, ``::1`` (in brackets or not) and 127.0.0.0/8."""
+    byte = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return F.lower(host).isin("localhost", "::1", "[::1]") | host.rlike(rf"^127(?:\.{byte}){{3}}$")
 
 
 def base_url(url: Column) -> Column:

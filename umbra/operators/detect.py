@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.kinds import KINDS, LEARNED
 from ..functions.patterns import SPANS, unicode
 
@@ -20,64 +21,78 @@ LABELS = {"person": "PERSON", "location": "LOCATION", "organization": "ORG", "em
 SPOKEN = {"person": "PERSON", "name": "PERSON", "location": "LOCATION", "place": "LOCATION", "city": "LOCATION", "org": "ORG", "organization": "ORG", "company": "ORG", "email": "EMAIL", "url": "URL", "ip": "IP", "ip_address": "IP"}
 
 
-def _found(text: Column, kind: str, pattern: str, rank: int) -> Column:
-    """All matches of one pattern, with the pattern's rank for ties."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    kind_of = f"array<struct<start:int,end:int,kind:string,text:string,rank:int>>"
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.octet_length(p["g"]) + F.octet_length(p["h"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.octet_length(p["g"])).alias("start"), (acc["at"] + F.octet_length(p["g"]) + F.octet_length(p["h"])).alias("end"), F.lit(kind).alias("kind"), p["h"].alias("text"), F.lit(rank).alias("rank")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) > 0, walked).otherwise(F.array().cast(kind_of))
+RANKED = "array<struct<start:int,back:int,rank:int,kind:string,text:string>>"
+#: What a text must hold for a pattern to match it: a plain substring, or a short pattern.
+NEEDS = {"URL": "://", "EMAIL": "@", "PATH": "/", "IP": r"(?U)\d\.\d", "UUID": "-"}
+
+
+def _walked(hits: Column, gaps: Column, kind: str, rank: int) -> Column:
+    """Places of hits from what stands between them. ``back`` is the end below 0:
+    rows in natural order are by start, longer first, then by rank."""
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.octet_length(pair["gaps"])
+        return let(
+            F.struct(start.alias("start"), (-start - F.octet_length(pair["hits"])).alias("back"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), pair["hits"].alias("text")),
+            lambda x: F.struct((-x["back"]).alias("at"), F.concat(acc["out"], F.array(x)).alias("out")),
+        )
+
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gaps"), hits.alias("hits"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(RANKED).alias("out")), step, lambda acc: acc["out"])
+
+
+def _found(text: Column, kind: str, pattern: str, rank: int, need: str | None = None) -> Column:
+    """All matches of one pattern, with its rank for ties. A text without ``need``
+    isn't scanned; only one with a match is scanned again, for the gaps."""
+    none = F.array().cast(RANKED)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = let(hits, lambda h: F.when(F.size(h) > 0, _walked(h, F.split(text, pattern, -1), kind, rank)).otherwise(none))
+    if need is None:
+        return found
+    return F.when(text.rlike(need) if need.startswith("(?") else F.contains(text, F.lit(need)), found).otherwise(none)
+
+
+def _span(x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["kind"].alias("kind"), x["text"].alias("text"))
 
 
 def _resolved(ranked: Column) -> Column:
     """Sorted by start, longer first; a span is kept if the last kept one has ended."""
-    order = lambda a, b: (
-        F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rank"] - b["rank"])
-    )
-    keep = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= x["start"]), F.concat(acc, F.array(x))).otherwise(acc)
-    kept = F.aggregate(F.array_sort(ranked, order), F.expr(EMPTY), lambda acc, x: keep(acc, F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"))))
-    return F.when(F.size(ranked) > 0, kept).otherwise(F.expr(EMPTY))
+    step = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= x["start"]), F.concat(acc, F.array(_span(x)))).otherwise(acc)
+    return let(ranked, lambda r: F.when(F.size(r) <= 1, F.transform(r, _span)).otherwise(F.aggregate(F.sort_array(r), F.expr(EMPTY), step)))
 
 
 def resolve(spans: Column) -> Column:
     """Overlap resolution of any span array (equal spans: the earlier in the array)."""
-    return _resolved(F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["text"].alias("text"), i.alias("rank"))))
+    return _resolved(F.transform(spans, lambda x, i: F.struct(x["start"].cast("int").alias("start"), (-x["end"].cast("int")).alias("back"), i.cast("int").alias("rank"), x["kind"].alias("kind"), x["text"].alias("text"))))
 
 
 def detect(text: Column, patterns: Sequence[tuple[str, str]] = SPANS) -> Column:
     """Each pattern is scanned over the whole text on its own; overlaps are then
     resolved. Null text gives no spans."""
-    text = F.coalesce(text, F.lit(""))
-    found = F.concat(*(_found(text, kind, unicode(p), i) for i, (kind, p) in enumerate(patterns)))
-    quick = F.contains(text, F.lit("@")) | F.contains(text, F.lit("/")) | text.rlike(unicode(r"\d\.\d|[0-9a-fA-F]-[0-9a-fA-F]")) if patterns is SPANS else F.lit(True)
-    return F.when(quick, _resolved(found)).otherwise(F.expr(EMPTY))
+    needs = NEEDS if patterns is SPANS else {}
+    return let(F.coalesce(text, F.lit("")), lambda t: _resolved(F.concat(*(_found(t, kind, unicode(p), i, needs.get(kind)) for i, (kind, p) in enumerate(patterns)))))
 
 
 def gazetteer(text: Column, names: Mapping[str, Sequence[str]] = GAZETTEER, labels: Sequence[str] | None = None) -> Column:
     """Literal names, longest first at one place; no or empty labels mean all."""
     wanted = tuple(labels) if labels else LEARNED
     patterns = [(kind, re.escape(n)) for kind, row in names.items() if kind in wanted for n in row]
-    text = F.coalesce(text, F.lit(""))
-    return _resolved(F.concat(*(_found(text, kind, p, i) for i, (kind, p) in enumerate(patterns)))) if patterns else F.expr(EMPTY)
+    if not patterns:
+        return F.expr(EMPTY)
+    names_of = [n for kind, row in names.items() if kind in wanted for n in row]
+    return let(F.coalesce(text, F.lit("")), lambda t: _resolved(F.concat(*(_found(t, kind, p, i, n) for i, ((kind, p), n) in enumerate(zip(patterns, names_of, strict=True))))))
 
 
 def fallback(primary: Column, secondary: Column) -> Column:
     """The secondary detector only where the first found nothing."""
-    return F.when(F.size(primary) > 0, primary).otherwise(secondary)
+    return let(primary, lambda p: F.when(F.size(p) > 0, p).otherwise(secondary))
 
 
 def merge(primary: Column, secondary: Column) -> Column:
     """All primary spans and each secondary one that overlaps none, by start."""
-    free = F.filter(secondary, lambda x: ~F.exists(primary, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])))
-    return F.array_sort(F.concat(primary, free), lambda a, b: a["start"] - b["start"])
+    free = lambda p: F.filter(secondary, lambda x: ~F.exists(p, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])))
+    return let(primary, lambda p: let(free(p), lambda f: F.when(F.size(f) == 0, p).otherwise(F.array_sort(F.concat(p, f)))))
 
 
 def none_found() -> Column:
@@ -89,7 +104,7 @@ STRATEGIES: dict[str, Callable[[Column, Column], Column]] = {"regex": lambda lea
 
 def detect_with(strategy: str, text: Column, learned: Column | None = None) -> Column:
     """Dispatch over detector strategies; ``learned`` defaults to the gazetteer."""
-    return STRATEGIES[strategy](gazetteer(text) if learned is None else learned, detect(text))
+    return let(text, lambda t: STRATEGIES[strategy](gazetteer(t) if learned is None else learned, detect(t)))
 
 
 def validate(text: Column, spans: Column) -> Column:
@@ -175,3 +190,15 @@ def tagged(label: Column) -> Column:
     """Kinds of token-classification labels; null for the rest."""
     bare = F.regexp_replace(F.upper(label), "^[BI]-", "")
     return F.when(bare.isin("PER", "PERSON"), "PERSON").when(bare.isin("ORG", "ORGANIZATION"), "ORG").when(bare.isin("LOC", "LOCATION"), "LOCATION")
+
+
+def tagged_spans(text: Column, tokens: Column) -> Column:
+    """Spans of an injected token classifier. tokens: array of label, score, start
+    and end in characters. Unknown labels and places outside the text go; the
+    rest is numbered by kind, each occurrence anew, in the model's order."""
+    kept = F.filter(
+        F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), tagged(x["label"]).alias("kind"), x["score"].alias("score"))),
+        lambda x: x["kind"].isNotNull() & (x["start"] >= 0) & (x["end"] > x["start"]) & (x["end"] <= F.length(text)),
+    )
+    number = lambda k, x, i: F.size(F.filter(F.slice(k, F.lit(1), i + 1), lambda y: y["kind"] == x["kind"]))
+    return let(kept, lambda k: F.transform(k, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score"), F.concat_ws("_", x["kind"], number(k, x, i).cast("string")).alias("replacement"), F.lit("ner").alias("source"))))

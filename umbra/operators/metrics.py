@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..tables import written
 
 # Labels of the evaluation corpus.
 CORPUS_LABELS = {"FIRSTNAME": "person", "LASTNAME": "person", "MIDDLENAME": "person", "CITY": "location", "STATE": "location", "COUNTY": "location", "COMPANYNAME": "org"}
@@ -21,7 +27,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def overlap_scores(pred: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("kind",)) -> DataFrame:
-    """Precision, recall and F1 by ``keys`` and, with a null kind, over all: a span
+    """Precision, recall and F1 by ``keys`` and, with a null last key, over all of that: a span
     counts if one of the other side with its document and keys overlaps it."""
     both = ["doc_id", *keys]
 
@@ -34,7 +40,8 @@ def overlap_scores(pred: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("k
         return a.groupBy(*keys).agg(F.count("*").alias(name)).join(hit, list(keys), "left")
 
     rows = caught(pred, gold, "pred").join(caught(gold, pred, "gold"), list(keys), "full").na.fill(0)
-    sums = rows.rollup(*keys[::-1]).agg(*(F.sum(c).alias(c) for c in ("pred", "pred_hit", "gold", "gold_hit"))) if len(keys) == 1 else rows
+    # the last key is the kind: null in the row over all kinds
+    sums = rows.groupingSets([list(keys), list(keys[:-1])], *keys).agg(*(F.sum(c).alias(c) for c in ("pred", "pred_hit", "gold", "gold_hit")))
     p, r = ratio(F.col("pred_hit"), F.col("pred")), ratio(F.col("gold_hit"), F.col("gold"))
     return sums.select(*keys, p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
@@ -95,16 +102,82 @@ def normalised(vector: Column) -> Column:
     return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(x))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 256, salts: int = 16) -> DataFrame:
+def embedded(rows: DataFrame, model: Callable[[list[str]], np.ndarray], text_col: str = "text", out: str = "embedding") -> DataFrame:
+    """Adds vectors of length 1 by an injected model, in Arrow batches; null text counts as empty."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.asarray(model([t or "" for t in batch.column(text_col).to_pylist()]), np.float32).reshape(len(batch), -1)
+            size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.where(size > 0, v / np.where(size > 0, size, 1), v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(v), pa.list_(pa.float32()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _packed(most: int):
+    """Whole blocks of vectors of length 1 as one row: ids, data and their dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), most):
+                part = batch.slice(a, most)
+                by_dim: dict[int, list[int]] = {}
+                for i, n in enumerate(pa.compute.list_value_length(part.column("embedding")).to_pylist()):
+                    if n:
+                        by_dim.setdefault(n, []).append(i)
+                for dim, at in by_dim.items():
+                    some = part.take(pa.array(at))
+                    v = some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                    v = np.where(size > 0, v / np.where(size > 0, size, 1), v)
+                    ids = some.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["dim", "ids", "data"])
+
+    return run
+
+
+def _best(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, q_ids, q_data in zip(*(batch.column(n) for n in ("ids", "data", "q_ids", "q_data")), strict=True):
+                ids, q_ids = (np.frombuffer(x.as_buffer(), np.int64) for x in (ids, q_ids))
+                x, q = np.frombuffer(data.as_buffer()).reshape(len(ids), -1), np.frombuffer(q_data.as_buffer()).reshape(len(q_ids), -1)
+                score = np.round(q @ x.T, 6) + 0.0
+                score[q_ids[:, None] == ids[None, :]] = -np.inf
+                rows = []
+                for i, own in enumerate(q_ids.tolist()):
+                    bound = np.partition(score[i], len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
+                    at = np.flatnonzero((score[i] >= bound) & (score[i] > -np.inf))
+                    at = at[np.lexsort([ids[at], -score[i, at]])[:k]]
+                    rows.append((np.full(len(at), own), ids[at], score[i, at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1024, most_bytes: int = 64 << 20) -> DataFrame:
     """The k-1 nearest siblings of each query vector (vec_id, embedding) by dot
-    product. Queries against all rows, in blocks: a row meets whole blocks of
-    queries by an equi-join on (block, salt), and every task keeps its k-1 best
-    of each query before anything is shuffled for the last ranking."""
-    blocks = max(1, -(-queries.count() // block))
-    by_block = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col("vec_id").alias("query_id"), normalised(F.col("embedding")).alias("q")).alias("x"))
-    asked = by_block.groupBy("block").agg(F.collect_list("x").alias("asked")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    c = rows.select("vec_id", normalised(F.col("embedding")).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
-    met = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["block", "salt"])
-    dot = F.aggregate(F.zip_with("x.q", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = met.select("vec_id", "c", F.explode("asked").alias("x")).filter("vec_id <> x.query_id").select("x.query_id", "vec_id", F.round(dot, 6).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k - 1)
+    product of vectors of length 1, rounded to 6 places, ties to smaller ids.
+
+    Queries against all rows, block by block: each pair of blocks is one matrix
+    product whose k-1 best of each query alone go on. Query blocks are broadcast
+    up to ``most_bytes``, beyond that dealt to tasks with the row blocks they
+    meet. Null and empty vectors and null ids take no part; vectors of another
+    dimension are no candidates.
+    """
+    usable = "vec_id is not null and embedding is not null"
+    pack = lambda df: df.filter(usable).select("vec_id", "embedding").mapInArrow(_packed(block), "dim int, ids binary, data binary")
+    asked = written(pack(queries), "asked").select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    size = asked.agg(F.sum(F.octet_length("q_data"))).head()[0] or 0
+    blocks = pack(rows)
+    if size <= most_bytes:
+        met = blocks.join(F.broadcast(asked), "dim")
+    else:  # one key holds all blocks: each query block goes to one of several copies of the key
+        salts = -(-size // most_bytes)
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("q_ids"), F.lit(salts)).cast("int"))
+        met = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1).cast("int")))).join(asked, ["dim", "salt"])
+    found = met.select("ids", "data", "q_ids", "q_data").mapInArrow(_best(k - 1), "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k - 1).select("query_id", "vec_id", "score", "rank")

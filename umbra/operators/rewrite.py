@@ -5,51 +5,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.kinds import source_tag, wire
 from ..functions.patterns import PSEUDONYM, unicode
-from .entities import explode_spans
+from .detect import EMPTY
+from .entities import looked_up, normalise
 
 
 def splice(text: Column, cuts: Column) -> Column:
     """Replaces byte ranges. cuts: array of (start, end, put), by start; one that
     starts before the last one's end is skipped."""
-    data = F.encode(text, "UTF-8")
-    gap = lambda a, b: F.decode(F.substring(data, a + 1, b - a), "UTF-8")
-    done = F.aggregate(
-        cuts,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].cast("int").alias("at"), F.concat(acc["out"], gap(acc["at"], x["start"]), x["put"]).alias("out"))),
-        lambda acc: F.concat(acc["out"], gap(acc["at"], F.octet_length(text))),
-    )
-    return F.when(F.size(cuts) > 0, done).otherwise(text)
+
+
+    def done(data: Column) -> Column:
+        gap = lambda a, b: F.decode(F.substring(data, a + 1, b - a), "UTF-8")
+        none = F.array().cast("array<string>")
+        return F.aggregate(
+            cuts,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].cast("int").alias("at"), F.concat(acc["out"], F.array(gap(acc["at"], x["start"]), x["put"])).alias("out"))),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), gap(acc["at"], F.octet_length(data))),
+        )
+
+    return F.when(F.size(cuts) > 0, let(F.encode(text, "UTF-8"), done)).otherwise(text)
+
+
+def surfaces(spans: Column) -> Column:
+    """The normalised surfaces of a row's spans."""
+    return F.transform(spans, lambda x: normalise(x["text"], x["kind"]))
+
+
+def put(spans: Column, known: Column) -> Column:
+    """start, end, kind and pseudonym of each span. One that the session never
+    minted gets its kind in brackets: no surface passes."""
+    name = lambda x: F.coalesce(F.try_element_at(known, normalise(x["text"], x["kind"])), F.concat(F.lit("["), x["kind"], F.lit("]")))
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), name(x).alias("put")))
+
+
+def shown(cuts: Column) -> Column:
+    """Replacements: start, end, kind, score, replacement and source."""
+    return F.transform(cuts, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), wire(x["kind"]).alias("kind"), F.lit(1.0).alias("score"), x["put"].alias("replacement"), source_tag(x["kind"]).alias("source")))
 
 
 def pseudonymise(rows: DataFrame, entities: DataFrame, spans: str = "spans") -> DataFrame:
-    """rows (session_id, seq, text, spans) with ``safe`` and ``replaced``, an array
-    of start, end, kind, score, replacement and source. A span keeps the kind it
-    was detected as, even where its pseudonym has another."""
-    named = explode_spans(rows, spans).join(entities.select("session_id", "norm", "pseudonym"), ["session_id", "norm"])
-    fields = F.struct("ord", "start", "end", "kind", "pseudonym")
-    by_row = named.groupBy("session_id", "seq").agg(F.array_sort(F.collect_list(fields)).alias("cuts"))
-    out = rows.join(by_row, ["session_id", "seq"], "left").withColumn("cuts", F.coalesce("cuts", F.expr("cast(array() as array<struct<ord:int,start:int,end:int,kind:string,pseudonym:string>>)")))
-    safe = splice(F.col("text"), F.transform("cuts", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["pseudonym"].alias("put"))))
-    shown = F.transform("cuts", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), wire(x["kind"]).alias("kind"), F.lit(1.0).alias("score"), x["pseudonym"].alias("replacement"), source_tag(x["kind"]).alias("source")))
-    return out.withColumn("safe", safe).withColumn("replaced", shown).drop("cuts")
+    """rows (session_id, text, spans and further columns) with ``safe`` and
+    ``replaced``, an array of start, end, kind, score, replacement and source. A
+    span keeps the kind it was detected as, even where its pseudonym has another.
+
+    Each row is rewritten from its own spans, so rows may repeat in any column; a
+    null session is a session; null text stays null. A surface that the session
+    never minted becomes its kind in brackets, never itself.
+    """
+    out = looked_up(rows, surfaces(F.col(spans)), entities, "norm", "pseudonym", "umbra_names")
+    cuts = put(F.coalesce(F.col(spans), F.expr(EMPTY)), F.col("umbra_names"))
+    done = let(cuts, lambda c: F.struct(splice(F.col("text"), c).alias("safe"), shown(c).alias("replaced")))
+    return out.withColumn("umbra_done", done).withColumns({"safe": F.col("umbra_done.safe"), "replaced": F.col("umbra_done.replaced")}).drop("umbra_done", "umbra_names")
+
+
+def tokens_of(text: Column, pattern: str = PSEUDONYM) -> Column:
+    """Pseudonym-shaped tokens in order; null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(unicode(pattern)), F.lit(0))
 
 
 def mapped(text: Column, known: Column, pattern: str = PSEUDONYM) -> Column:
     """Replaces each token of the pattern that the map knows; the rest stays."""
     p = unicode(pattern)
-    tokens, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-    put = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), t))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.greatest(F.size(tokens), F.lit(0))), put, lambda g, t: F.concat(g, t)), ""), F.element_at(gaps, -1))
-    return F.when((F.size(tokens) > 0) & known.isNotNull(), joined).otherwise(text)
 
+    def joined(tokens: Column, gaps: Column) -> Column:
+        named = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), t))
+        return F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(tokens)), named, lambda g, t: F.concat(g, t)), ""), F.element_at(gaps, -1))
 
-def session_maps(entities: DataFrame) -> DataFrame:
-    return entities.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("pseudonym", "canonical"))).alias("known"))
+    done = let(tokens_of(text, pattern), lambda t: F.when(F.size(t) > 0, let(F.split(text, p, -1), lambda g: joined(t, g))).otherwise(text))
+    return F.when(known.isNotNull() & F.contains(text, F.lit("_")), done).otherwise(text)
 
 
 def reverse(rows: DataFrame, entities: DataFrame, text: str = "text", out: str = "restored") -> DataFrame:
-    """Adds ``out``: pseudonyms of the row's session as their first-seen surfaces."""
-    return rows.join(session_maps(entities), "session_id", "left").withColumn(out, mapped(F.col(text), F.col("known"))).drop("known")
+    """Adds ``out``: pseudonyms of the row's session as their first-seen surfaces.
+    Only the row's own tokens are looked up; null text stays null."""
+    named = looked_up(rows, tokens_of(F.col(text)), entities, "pseudonym", "canonical", "umbra_known")
+    return named.withColumn(out, mapped(F.col(text), F.col("umbra_known"))).drop("umbra_known")

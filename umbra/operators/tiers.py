@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.keywords import PRIVATE, SECRET
 from ..functions.kinds import LADDER
 from ..functions.patterns import API_KEY, ENV, FRONT
@@ -15,10 +14,14 @@ from ..functions.patterns import API_KEY, ENV, FRONT
 HYPOTHESES = {"public": "publicly shareable information", "internal": "internal work content", "private": "personal or confidential information", "secret": "secrets, credentials, or API keys"}
 
 
+def _held(low: Column, words) -> Column:
+    """Those of the words that a lower-cased text holds, as plain substrings."""
+    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+
+
 def hits(text: Column, words) -> Column:
     """How many of the words the lower-cased text holds, as plain substrings."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])
+    return let(F.lower(text), lambda low: F.size(_held(low, words)))
 
 
 def _scores(*values) -> Column:
@@ -26,29 +29,40 @@ def _scores(*values) -> Column:
 
 
 def scores(text: Column) -> Column:
-    """The heuristic cascade; the first rule that fires gives all four scores."""
-    text = F.coalesce(text, F.lit(""))
-    sure = F.least(0.55 + 0.07 * hits(text, PRIVATE), F.lit(0.85))
-    rest = 1.0 - sure
-    return (
-        F.when(text.rlike(FRONT.format("secret")), _scores(0.0, 0.05, 0.1, 0.85))
-        .when(text.rlike(ENV) | text.rlike(API_KEY), _scores(0.0, 0.05, 0.15, 0.8))
-        .when(hits(text, SECRET) > 0, _scores(0.02, 0.08, 0.2, 0.7))
-        .when(text.rlike(FRONT.format("private")), _scores(0.02, 0.08, 0.8, 0.1))
-        .when(hits(text, PRIVATE) > 0, _scores(rest * 0.05, rest * 0.6, sure, rest * 0.35))
-        .otherwise(_scores(0.25, 0.55, 0.15, 0.05))
-    )
+    """The heuristic cascade; the first rule that fires gives all four scores.
+    The text is lower-cased once, and words are counted where rules before them
+    don't fire. Null counts as empty."""
+
+    def sure(n: Column) -> Column:
+        certain = F.least(0.55 + 0.07 * n, F.lit(0.85))
+        return let(certain, lambda c: _scores((1.0 - c) * 0.05, (1.0 - c) * 0.6, c, (1.0 - c) * 0.35))
+
+    def cascade(t: Column, low: Column) -> Column:
+        front = F.contains(t, F.lit("---")) & F.contains(low, F.lit("sensitivity"))
+        private = let(F.size(_held(low, PRIVATE)), lambda n: F.when(n > 0, sure(n)).otherwise(_scores(0.25, 0.55, 0.15, 0.05)))
+        return (
+            F.when(front & t.rlike(FRONT.format("secret")), _scores(0.0, 0.05, 0.1, 0.85))
+            .when((F.contains(t, F.lit("=")) & t.rlike(ENV)) | t.rlike(API_KEY), _scores(0.0, 0.05, 0.15, 0.8))
+            .when(F.size(_held(low, SECRET)) > 0, _scores(0.02, 0.08, 0.2, 0.7))
+            .when(front & t.rlike(FRONT.format("private")), _scores(0.02, 0.08, 0.8, 0.1))
+            .otherwise(private)
+        )
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: cascade(t, low)))
 
 
 def argmax(s: Column) -> Column:
     """The likeliest tier; ties go to the more cautious one."""
-    top = F.greatest(*(s[t] for t in LADDER))
-    return F.when(s["secret"] == top, "secret").when(s["private"] == top, "private").when(s["internal"] == top, "internal").otherwise("public")
+
+    def of(x: Column) -> Column:
+        top = F.greatest(*(x[t] for t in LADDER))
+        return F.when(x["secret"] == top, "secret").when(x["private"] == top, "private").when(x["internal"] == top, "internal").otherwise("public")
+
+    return let(s, of)
 
 
 def margin(s: Column) -> Column:
-    order = F.sort_array(F.array(*(s[t] for t in LADDER)), False)
-    return order[0] - order[1]
+    return let(s, lambda x: let(F.sort_array(F.array(*(x[t] for t in LADDER)), False), lambda order: order[0] - order[1]))
 
 
 def rank(tier: Column) -> Column:
@@ -65,8 +79,11 @@ def bump(tier: Column) -> Column:
 
 def escalate(s: Column, least: float = 0.2) -> Column:
     """tier and escalated: a margin under ``least`` bumps the tier by one rung."""
-    close = margin(s) < least
-    return F.struct(F.when(close, bump(argmax(s))).otherwise(argmax(s)).alias("tier"), close.alias("escalated"))
+
+    def of(tier: Column, close: Column) -> Column:
+        return F.struct(F.when(close, bump(tier)).otherwise(tier).alias("tier"), close.alias("escalated"))
+
+    return let(s, lambda x: of(argmax(x), margin(x) < least))
 
 
 def route(tier: Column, remote: Column, local: Column, local_runs_here: Column, cohort_k: int = 1, wrapped: str = "safe") -> Column:
@@ -84,17 +101,42 @@ def route(tier: Column, remote: Column, local: Column, local_runs_here: Column,
     )
 
 
-def guard(messages: DataFrame) -> DataFrame:
+def guard(messages: DataFrame, injected: Column | None = None) -> DataFrame:
     """conv_id and violation: the first message by turn that may not leave raw
-    (1 secret, 2 private), or null."""
+    (1 secret, 2 private), or null. injected: whether a guard of the caller's
+    holds a message without a tier to be secret."""
     bad = F.when(F.col("tier") == "secret", 1).when(F.col("tier") == "private", 2)
+    if injected is not None:
+        bad = bad.when(F.col("tier").isNull() & injected, 1)
     return messages.groupBy("conv_id").agg(F.min_by(bad, F.when(bad.isNotNull(), F.col("turn"))).alias("violation"))
 
 
 def with_presence(text: Column, spans: Column) -> Column:
     """Secret stays; any span makes a text private."""
-    s = scores(text)
-    return F.when(argmax(s) == "secret", s).when(F.size(spans) > 0, _scores(0.0, 0.0, 1.0, 0.0)).otherwise(s)
+    return let(scores(text), lambda s: F.when(argmax(s) == "secret", s).when(F.size(spans) > 0, _scores(0.0, 0.0, 1.0, 0.0)).otherwise(s))
+
+
+def trace(route_: Column, escalated: Column) -> Column:
+    """What a caller may inspect of a decision: a withheld prompt has no backend."""
+    out = route_["withheld"]
+    return F.struct(
+        route_["tier"].alias("tier"),
+        out.alias("withheld"),
+        escalated.alias("escalated"),
+        F.when(~out, route_["backend_id"]).alias("backend_id"),
+        F.when(~out, route_["transformed"]).alias("transformed"),
+    )
+
+
+def read_files(files: DataFrame, entities_: DataFrame) -> DataFrame:
+    """What a model may read of files (session_id, path, text, spans): path, text
+    and withheld. A file with a credential is withheld whole, others are
+    pseudonymised."""
+    from .rewrite import pseudonymise
+
+    safe = pseudonymise(files, entities_).withColumn("withheld", argmax(scores(F.col("text"))) == "secret")
+    mark = F.concat(F.lit("[withheld: "), F.col("path"), F.lit(" holds a credential]"))
+    return safe.select("session_id", "path", F.when(F.col("withheld"), mark).otherwise(F.col("safe")).alias("text"), "withheld")
 
 
 def withheld_or(text: Column, safe: Column, mark: str = "[withheld: secret]") -> Column:
