@@ -57,7 +57,7 @@ def test_cohort(spark):
     assert cohort.cohort(safe, 4).filter("seq = 2").head()["achieved_k"] == 1
     hidden = cohort.cohort(safe, 3, hide_content=True).filter("seq = 1").orderBy("member").collect()
     assert hidden[1]["text"] == "send PATH_10001 to EMAIL_10001"
-    mixed = cohort.scramble(cohort.cohort(safe, 4), 3).filter("seq = 1").collect()
+    mixed = cohort.scramble(cohort.cohort(safe, 4), "k").filter("seq = 1").collect()
     assert len({r["scrambled"] for r in mixed}) == 4 and all("EMAIL_1 " not in r["scrambled"] for r in mixed)
 
 
