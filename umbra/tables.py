@@ -94,16 +94,6 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, weight: str, heavy: i
     return rows.join(F.broadcast(top), on).unionByName(rest)
 
 
-@contextmanager
-def shared(spark: SparkSession, value):
-    """A broadcast that is given up at the end, once what reads it is written."""
-    held = spark.sparkContext.broadcast(value)
-    try:
-        yield held
-    finally:
-        held.destroy()
-
-
 def spread(table: DataFrame) -> DataFrame:
     """A table of few bytes dealt to all cores: a scan can't split a file's only
     row group. A large table, of many row groups, stays as it is."""
