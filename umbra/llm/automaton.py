@@ -24,8 +24,8 @@ class Nfa:
 class _Parser:
     """Literals, classes, groups, ``(?i:...)``, ``|``, ``? * +`` and ``{m}``, ``{m,}``, ``{m,n}``."""
 
-    def __init__(self, nfa: Nfa, pattern: str):
-        self.nfa, self.p, self.i, self.fold = nfa, pattern, 0, False
+    def __init__(self, nfa: Nfa, pattern: str, back: bool = False):
+        self.nfa, self.p, self.i, self.fold, self.back = nfa, pattern, 0, False, back
 
     def peek(self) -> str:
         return self.p[self.i] if self.i < len(self.p) else ""
@@ -56,6 +56,8 @@ class _Parser:
         parts = []
         while self.peek() not in ("", "|", ")"):
             parts.append(self.repeated())
+        if self.back:
+            parts.reverse()
 
         def build(a: int) -> int:
             for part in parts:
@@ -139,15 +141,16 @@ class _Parser:
 
 class Dfa:
     """``table[state * width + kind[byte]]`` is the next state times nothing else;
-    ``accepts[state]`` has a bit for each pattern. State 0 is the start."""
+    ``accepts[state]`` has a bit for each pattern. State 0 is the start. ``back``:
+    the automaton reads texts from their end, and accepts where a match starts."""
 
-    def __init__(self, patterns: list[str], anywhere: bool):
+    def __init__(self, patterns: list[str], anywhere: bool, back: bool = False):
         nfa = Nfa()
         start, ends = nfa.state(), {}
         for k, pattern in enumerate(patterns):
             s = nfa.state()
             nfa.free[start].append(s)
-            parser = _Parser(nfa, pattern)
+            parser = _Parser(nfa, pattern, back)
             ends[parser.either()(s)] = 1 << k
         if anywhere:
             nfa.step[start].append((ANY, start))
@@ -201,12 +204,15 @@ class Dfa:
         """Bytes after which nothing before them matters."""
         return np.array([bool((self.table[:, k] == 0).all()) for k in self.kind])
 
+    def plain(self) -> tuple[list[list[int]], list[int]]:
+        """The table by state and byte, and what states accept, as lists."""
+        kind = self.kind.tolist()
+        return [[int(r[k]) for k in kind] for r in self.table], self.accepts.tolist()
+
     def longest(self, data: bytes, at: int) -> int:
         """End of the longest match that starts at ``at``, or -1. Not for ``anywhere``."""
         if not hasattr(self, "rows"):
-            kind = self.kind.tolist()
-            self.rows = [[int(r[k]) for k in kind] for r in self.table]
-            self.ok = (self.accepts > 0).tolist()
+            self.rows, self.ok = self.plain()
             live = self.accepts > 0
             while (more := live | live[self.table].any(axis=1)).sum() > live.sum():
                 live = more

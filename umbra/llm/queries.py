@@ -91,20 +91,20 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": OP1, "op5_topk": OP5}
+    return {"op1_lines": OP1, "op4_jaccard": OP4, "op5_topk": OP5, "op9_secrets": _op9()}
 
 
-#: White space at a line's ends is trimmed as the bytes 9 to 13 and 32; A-Z only are lowered.
+#: Each row is a document, rows that repeat an id too. White space at a line's ends is trimmed as the bytes 9 to 13 and 32; A-Z only are lowered.
 OP1 = r"""
 WITH lines AS (
-  SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+  SELECT r, doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
-hot AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+  FROM (SELECT r, doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+hot AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM hot)) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k NOT IN (SELECT k FROM hot)), '')) AS kept_sha256
-FROM lines GROUP BY doc_id
+FROM lines GROUP BY r, doc_id
 """
 
 OP5 = """
@@ -120,3 +120,42 @@ SELECT query_id, rank, vec_id, score
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 WHERE rank <= 5
 """
+
+
+def _op9() -> str:
+    """Each rule's matches by extraction, with their places summed up from the gaps."""
+    from .secrets import BASE, MORE
+
+    rules = [(i, r.kind, r.head.replace("(live|test)", "(?:live|test)").replace("([A-Z0-9]+ )", "(?:[A-Z0-9]+ )"), r.tail, r.least, r.of_tail, r.few) for i, r in enumerate(BASE + MORE)]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    pats = ", ".join(f"({i}, {quoted(kind)}, {quoted(head + tail + (f'{{{few},}}' if few > 1 else '+' if tail else ''))}, {least}, {quoted(head if of_tail else '')})" for i, kind, head, tail, least, of_tail, few in rules)
+    return f"""
+WITH pats(ord, kind, pat, least, head) AS (VALUES {pats}),
+docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS (SELECT doc_id, ord, kind, least, head, regexp_extract_all(t, pat) AS m, regexp_split_to_array(t, pat) AS g FROM docs, pats),
+each AS (SELECT doc_id, ord, kind, least, head, unnest(m) AS x, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM hits WHERE len(m) > 0),
+placed AS (SELECT *, CAST(sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS BIGINT) AS e FROM each),
+kept AS (SELECT doc_id, ord, kind, e - length(x) AS s, e FROM placed WHERE length(CASE WHEN head = '' THEN x ELSE regexp_replace(x, head, '') END) >= least),
+shown AS (SELECT doc_id, ord, kind, s, kind || ':' || CAST(s AS STRING) || ':' || CAST(e AS STRING) AS v FROM kept)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(v, ',' ORDER BY s, ord) FILTER (WHERE ord < 3), '')) AS base_sha256, coalesce(string_agg(v, ',' ORDER BY s, ord), '') AS spans
+FROM docs d LEFT JOIN shown k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
+
+
+#: Shingles as strings, pairs that share one and are of like size, and the smallest id reached.
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT s.doc_id, n.n, unnest(s.s) AS g FROM s JOIN n ON s.doc_id = n.doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.doc_id WHERE r.c < both_.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -1,10 +1,12 @@
 """Secret scans by one combined deterministic automaton.
 
-All rules' scan patterns are compiled into one automaton and run over the bytes
-of a whole batch in one pass. Bytes after which the automaton is always at its
-start part the batch into segments, which are run in step: one array lookup
-moves every segment by a byte. Only segments that reach an accepting state are
-read again, by each rule's own automaton, for exact spans.
+All rules are compiled into one automaton that reads texts from their end: where
+it accepts, a match of that rule starts. One pass over the bytes of a batch so
+gives every start of every rule. Bytes after which the automaton is always at
+its start part the batch into segments, which are read in step: one array lookup
+moves every segment by a byte. Matches are then taken from the left: each ends
+where its last class of bytes does, and the next one is the first start behind
+it, so that no byte is read again for a match that fails.
 """
 
 from __future__ import annotations
@@ -20,84 +22,109 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Dfa
+from .shingles import slices
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A match is ``head`` then ``value``, leftmost and longest; it counts if
-    ``value`` has at least ``least`` bytes. ``scan`` must match within each
-    match that counts; counts in it multiply the automaton's states, so only
-    the one that would accept nearly everywhere has one."""
+    """A match is ``head``, then one byte or more of the class ``tail`` (none if
+    that is empty). No byte of ``tail`` may go on a head that has ended. It
+    counts if it has at least ``least`` bytes, or if its tail has (``of_tail``).
+    Matches with a tail shorter than ``few`` needn't be found; as ``few`` bytes
+    multiply the automaton's states, only one rule without a head has it."""
 
     kind: str
     head: str
-    value: str
+    tail: str
     least: int
-    scan: str
+    of_tail: bool = False
+    few: int = 1
 
+    @property
+    def scan(self) -> str:
+        """What starts where a match starts."""
+        return self.head + self.tail + (f"{{{self.few}}}" if self.few > 1 else "")
 
-_HEAD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-_VALUE = r"[A-Za-z0-9+/_.=\-]"
+
+_WORD = r"[A-Za-z0-9_\-]"
 BASE = (
-    Rule("assign", _HEAD, _VALUE + "+", 12, _HEAD + _VALUE),
-    Rule("access", "", "AKIA[A-Z0-9]+", 18, "AKIA[A-Z0-9]"),
-    Rule("hex", "", "[0-9a-f]+", 16, "[0-9a-f]{16,}"),
+    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=\-]", 12, of_tail=True),
+    Rule("access", "AKIA", "[A-Z0-9]", 18),
+    Rule("hex", "", "[0-9a-f]", 16, few=16),
 )
 #: Public token formats, beside the base rules.
 MORE = (
-    Rule("github", "", "gh[pousr]_[A-Za-z0-9]+", 40, "gh[pousr]_[A-Za-z0-9]"),
-    Rule("slack", "", r"xox[abprs]-[A-Za-z0-9\-]+", 15, r"xox[abprs]-[A-Za-z0-9\-]"),
-    Rule("google", "", r"AIza[A-Za-z0-9_\-]+", 39, r"AIza[A-Za-z0-9_\-]"),
-    Rule("stripe", "", "[sr]k_(live|test)_[A-Za-z0-9]+", 24, "[sr]k_(live|test)_[A-Za-z0-9]"),
-    Rule("jwt", "", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", 30, r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]"),
-    Rule("pem", "", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", 27, "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 40),
+    Rule("slack", "xox[abprs]-", r"[A-Za-z0-9\-]", 15),
+    Rule("google", "AIza", _WORD, 39),
+    Rule("stripe", "[sr]k_(live|test)_", "[A-Za-z0-9]", 24),
+    Rule("jwt", rf"eyJ{_WORD}+\.eyJ{_WORD}+\.", _WORD, 30),
+    Rule("pem", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", "", 27),
 )
 
+#: Segments longer than this are read alone, byte by byte; shorter ones in step.
+LONG = 4096
+
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.dfa = Dfa([r.scan for r in rules], anywhere=True)
+        self.dfa = Dfa([r.scan for r in rules], anywhere=True, back=True)
         self.reset = self.dfa.reset_bytes()
         self.reset[10] = True  # stands between texts; no rule spans lines
+        self.rows, self.bits = self.dfa.plain()
         self.heads = [Dfa([r.head], anywhere=False) if r.head else None for r in rules]
-        self.values = [Dfa([r.value], anywhere=False) for r in rules]
+        one = [Dfa([r.tail], anywhere=False) if r.tail else None for r in rules]
+        self.tails = [None if d is None else np.array([d.accepts[d.table[0, k]] > 0 for k in d.kind]) for d in one]
 
-    def flagged(self, raw: np.ndarray, block: int = 16_384) -> list[tuple[int, int, int]]:
-        """(start, end, rules seen as bits) of the segments that a rule accepts in."""
+    def starts(self, raw: np.ndarray, block: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+        """Places where matches start, ascending, and which rules' (as bits)."""
         flat, width, accepts = self.dfa.table.ravel(), self.dfa.width, self.dfa.accepts.astype(np.int32)
-        inside = ~self.reset[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-        start, size = edge[::2], edge[1::2] - edge[::2]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], ~self.reset[raw], [False]]).view(np.int8)))
+        first, last = edge[::2], edge[1::2] - 1
+        size = last - first + 1
         some = size >= min(min(r.least, 16) for r in self.rules)
-        start, size = start[some], size[some]
+        first, last, size = first[some], last[some], size[some]
+        places, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for a, b in zip(first[size > LONG].tolist(), last[size > LONG].tolist(), strict=True):
+            state, rows, bits, at, rules = 0, self.rows, self.bits, [], []
+            for i, byte in zip(range(b, a - 1, -1), raw[a : b + 1][::-1].tobytes()):
+                state = rows[state][byte]
+                if bits[state]:
+                    at.append(i)
+                    rules.append(bits[state])
+            places.append(np.array(at, np.int64))
+            seen.append(np.array(rules, np.int32))
+        last, size = last[size <= LONG], size[size <= LONG]
         order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
+        last, size = last[order], size[order]
         kinds = self.dfa.kind[raw]
-        out = []
-        for a in range(0, len(start), block):
-            at, n = start[a : a + block], size[a : a + block]
-            state, seen = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-            active = len(at) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right") if len(at) else []
-            for j, m in enumerate(active):
-                state[:m] = flat[state[:m] * width + kinds[at[:m] + j]]
-                seen[:m] |= accepts[state[:m]]
-            for k in np.flatnonzero(seen).tolist():
-                out.append((int(at[k]), int(at[k] + n[k]), int(seen[k])))
-        return sorted(out)
-
-    def spans(self, data: bytes, rule: int) -> list[tuple[int, int]]:
-        """Leftmost matches of a rule that do not overlap; short ones are dropped after they took their place."""
-        head, value, out, i = self.heads[rule], self.values[rule], [], 0
-        while i < len(data):
-            mid = head.longest(data, i) if head else i
-            end = value.longest(data, mid) if mid >= 0 else -1
-            if end <= i:
-                i += 1
-                continue
-            if end - mid >= self.rules[rule].least:
-                out.append((i, end))
-            i = end
+        for a in range(0, len(last), block):
+            at, n = last[a : a + block], size[a : a + block]
+            state = np.zeros(len(at), np.int32)
+            for j, m in enumerate(len(at) - np.searchsorted(n[::-1], np.arange(int(n[0])), side="right")):
+                state[:m] = flat[state[:m] * width + kinds[at[:m] - j]]
+                hit = accepts[state[:m]]
+                if hit.any():
+                    k = np.flatnonzero(hit)
+                    places.append(at[k] - j)
+                    seen.append(hit[k])
+        place, bits = np.concatenate(places), np.concatenate(seen)
+        order = np.argsort(place, kind="stable")
+        return place[order], bits[order]
+
+    def spans(self, data: bytes, starts: np.ndarray, rule: int) -> list[tuple[int, int]]:
+        """Leftmost matches of a rule that do not overlap, of those that start at
+        ``starts``; short ones are dropped after they took their place."""
+        head, tail, of, out, i = self.heads[rule], self.tails[rule], self.rules[rule], [], 0
+        stops = None if tail is None else np.append(np.flatnonzero(~tail[np.frombuffer(data, np.uint8)]), len(data))
+        while i < len(starts):
+            at = int(starts[i])
+            mid = head.longest(data, at) if head else at
+            end = mid if stops is None else int(stops[np.searchsorted(stops, mid)])
+            if end - (mid if of.of_tail else at) >= of.least:
+                out.append((at, end))
+            i = int(np.searchsorted(starts, end))
         return out
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
@@ -107,16 +134,17 @@ class Scanner:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begin = np.cumsum(sizes + 1) - sizes - 1
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for a, b, seen in self.flagged(raw):
-            row = int(np.searchsorted(begin, a, side="right")) - 1
-            data, off = parts[row], a - int(begin[row])
-            lead = len(data[:off].decode("utf-8", "surrogatepass")) if not data[:off].isascii() else off
-            for k in range(len(self.rules)):
-                if seen >> k & 1:  # segments are free of bytes above 127 or whole characters: no rule takes them
-                    segment = data[off : off + b - a]
-                    out[row] += [(lead + s, lead + e, k) for s, e in self.spans(segment, k)]
-        for x in out:
-            x.sort(key=lambda y: (y[0], y[2]))
+        place, bits = self.starts(raw)
+        row = np.searchsorted(begin, place, side="right") - 1
+        edge = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            r = int(row[a])
+            own, seen, data = place[a:b] - begin[r], bits[a:b], parts[r]
+            found = [(s, e, k) for k in range(len(self.rules)) if (seen >> k & 1).any() for s, e in self.spans(data, own[(seen >> k & 1) > 0], k)]
+            if not data.isascii():  # characters before each byte
+                chars = np.append(0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
+                found = [(int(chars[s]), int(chars[e]), k) for s, e, k in found]
+            out[r] = sorted(found, key=lambda y: (y[0], y[2]))
         return out
 
 
@@ -143,8 +171,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.slice(a, 1000)
+            for part in slices(batch):
                 found = scan.value.batch(part.column("text").to_pylist())
                 rows = [[{"kind": rules[k].kind, "start": s, "end": e} for s, e, k in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, of)], names=schema.names)
