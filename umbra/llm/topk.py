@@ -15,87 +15,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import against, few_of_each, usable
+from .vectors import against, blocks_of, few_of_each, usable
 
-#: Parts of the lists that are read before bounds are compared again.
-DEPTHS = (0.35, 0.5, 0.65, 0.8, 1.0)
+#: Parts of the lists that may be read before bounds are compared.
+DEPTHS = (0.2, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 1.0)
 
 
 class Lists:
-    """A block's vectors and their lists, each in descending order."""
+    """A block's vectors and their lists: [0] from the highest value, [1] from the lowest."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(-x, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(x, self.order.T, axis=0).T.copy()
+        order = np.argsort(-x, axis=0, kind="stable").T
+        values = np.take_along_axis(x, order.T, axis=0).T
+        self.order = np.stack([order, order[:, ::-1]])
+        self.values = np.stack([values, values[:, ::-1]])
+        self.depths = np.unique(np.ceil(np.array(DEPTHS) * len(ids)).astype(np.int64))
 
     def search(self, q: np.ndarray, own: int, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and scores of all that may be among the k best, and the depth
-        read. least: the k-th best score known from elsewhere."""
+        read. least: the k-th best score known from elsewhere, a lower bound of
+        this block's k best. Each list gives its values in order; what it has not
+        given yet is at most the last value given."""
         n, use = len(self.ids), np.flatnonzero(q)
         if n <= 4 * k or not len(use):
             at = np.flatnonzero(self.ids != own)
             return at, self.x[at] @ q, n
-        up = (q[use] > 0)[:, None]
-        order = np.where(up, self.order[use], self.order[use][:, ::-1])
-        parts = np.where(up, self.values[use], self.values[use][:, ::-1]) * q[use][:, None]
-        worst = parts[:, -1:]
-        read, lower = 0, np.full(n, worst.sum())
-        for share in DEPTHS:
-            depth = max(read + 1, min(n, int(np.ceil(share * n))))
-            lower += np.bincount(order[:, read:depth].ravel(), (parts[:, read:depth] - worst).ravel(), n)
-            read = depth
-            sure = np.where(self.ids == own, -np.inf, lower)
-            bound = max(least, np.partition(sure, n - k)[n - k])
-            edge = parts[:, depth - 1 : depth]
-            if depth < n and edge.sum() >= bound:
-                continue  # a vector that no list has shown yet could still qualify
-            upper = edge.sum() + np.bincount(order[:, :depth].ravel(), (parts[:, :depth] - edge).ravel(), n)
+        way, w = (q[use] < 0).astype(np.int64), q[use][:, None]
+        edges = self.values[way[:, None], use[:, None], self.depths - 1] * w
+        most, worst, bound = edges.sum(axis=0), edges[:, -1:], least
+        enough = lambda: int(np.argmax(np.append(most[:-1] < bound, True)))  # noqa: E731 - no vector that isn't given yet can qualify from here on
+        step = enough() if np.isfinite(least) else len(most) // 2
+        while True:
+            depth = int(self.depths[step])
+            order, parts = self.order[way, use, :depth], self.values[way, use, :depth] * w
+            if most[step] >= bound and depth < n:  # what was read tells more by lower bounds
+                lower = worst.sum() + np.bincount(order.ravel(), (parts - worst).ravel(), n)
+                bound = max(least, np.partition(np.where(self.ids == own, -np.inf, lower), n - k)[n - k])
+                if most[step] >= bound:
+                    step = max(step + 1, enough())
+                    continue
+            edge = edges[:, step : step + 1]
+            upper = most[step] + np.bincount(order.ravel(), (parts - edge).ravel(), n)
             may = np.flatnonzero((upper >= bound) & (self.ids != own))
-            if len(may) <= max(8 * k, n // 16) or depth == n:
-                break
-        return may, self.x[may] @ q, read
+            return may, self.x[may] @ q, depth
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort([ids, -scores])[:k]
 
 
-def _whole(data, width: int) -> np.ndarray:
-    return np.floor(256.0 * np.frombuffer(data.as_buffer(), np.float64).reshape(-1, width))
-
-
 class _Search:
     whole = True
 
     def __init__(self, k: int):
         self.k = k
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], np.ndarray] = {}  # each query's best scores so far in this task, by its chunk
-        for batch in batches:
-            for ids, data, q_ids, q_data, chunk in zip(*batch.columns, strict=True):
-                ids, q_ids = (np.frombuffer(v.as_buffer(), np.int64) for v in (ids, q_ids))
-                width = len(data.as_buffer()) // 8 // len(ids)
-                x, asked = _whole(data, width), _whole(q_data, width)
-                if np.abs(x).max(initial=0) * np.abs(asked).max(initial=0) * width >= 2.0**53:
-                    x, asked = x.astype(object), asked.astype(object)  # too large for exact doubles
-                lists = Lists(ids, x) if x.dtype != object else None
-                if len(known) > 4:
-                    known.clear()
-                best = known.setdefault((width, chunk.as_py()), np.full((len(q_ids), self.k), -np.inf))
-                out = []
-                for i, own in enumerate(q_ids.tolist()):
-                    if lists is None:
-                        at = np.flatnonzero(ids != own)
-                        scores = np.array([int(v) for v in x[at] @ np.array([int(v) for v in asked[i]], object)], object)
-                        top = np.array(sorted(range(len(at)), key=lambda j: (-scores[j], ids[at[j]]))[: self.k], np.int64)
-                    else:
+    def __call__(self, chunks):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[tuple[int, int], np.ndarray] = {}  # each query's best scores so far in this task, by its chunk
+            for ids, x, dim, of in blocks_of(batches, chunks):
+                x = np.floor(256.0 * x)
+                lists, top = None, np.abs(x).max(initial=0)
+                for c, (q_ids, asked) in enumerate(of):
+                    asked = np.floor(256.0 * asked)
+                    if top * np.abs(asked).max(initial=0) * dim >= 2.0**53:  # too large for exact doubles
+                        yield _batch([self.exact(ids, x, q, own) for q, own in zip(asked, q_ids.tolist(), strict=True)])
+                        continue
+                    lists = lists or Lists(ids, x)
+                    best = known.setdefault((dim, c), np.full((len(q_ids), self.k), -np.inf))
+                    out = []
+                    for i, own in enumerate(q_ids.tolist()):
                         at, scores, _ = lists.search(asked[i], own, self.k, best[i].min())
-                        top = _best(ids[at], scores, self.k)
-                        best[i] = -np.sort(-np.concatenate([best[i], scores[top]]))[: self.k]
-                    out.append((np.full(len(top), own), ids[at[top]], scores[top].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                        most = _best(ids[at], scores, self.k)
+                        best[i] = -np.sort(-np.concatenate([best[i], scores[most]]))[: self.k]
+                        out.append((own, ids[at[most]], scores[most]))
+                    yield _batch(out)
+
+        return run
+
+    def exact(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int):
+        """By whole numbers of any size."""
+        at, whole = np.flatnonzero(ids != own), [int(v) for v in q]
+        scores = [sum(int(v) * w for v, w in zip(row, whole, strict=True)) for row in x[at].tolist()]
+        most = sorted(range(len(at)), key=lambda j: (-scores[j], ids[at[j]]))[: self.k]
+        return own, ids[at[most]], np.array([scores[j] for j in most], np.int64)
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    columns = ([np.full(len(ids), own, np.int64) for own, ids, _ in rows], [ids for _, ids, _ in rows], [scores.astype(np.int64) for _, _, scores in rows])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["query_id", "vec_id", "score"])
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -111,4 +120,4 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     """
     vectors = usable(rows, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["id"])
-    return against(few_of_each(vectors, k + 1), asked, _Search(k), k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return against(few_of_each(vectors, k + 1).select("id", "v"), asked, _Search(k), k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
