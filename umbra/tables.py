@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 #: Rows that go to Python at once, and bytes of a row group that is held while it is written.
-BATCH_ROWS, ROW_GROUP = 1000, 16 << 20
+BATCH_ROWS, ROW_GROUP = 256, 16 << 20
 #: A table of fewer bytes than this for each core is dealt anew.
 SMALL_PART = 32 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
