@@ -16,13 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .shingles import tidy
+from .store import sized, written
 from .tokens import ids_of
 
 FLAT = "file int, block int, ids binary, first long, docs array<long>"
 
 
 def _flat(path: str, end_id: int, block: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, file, held, size, number, first = ids_of(path, True), TaskContext.get().partitionId(), [], 0, 0, 0
         end = np.array([end_id], encode.dtype)
@@ -70,6 +72,7 @@ def flat_files(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 << 1
 
 
 def _scan(end_id: int, wide: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, many, last, after = [], [], [], []
@@ -97,11 +100,13 @@ def count_tokens(files: DataFrame, end_id: int, wide: int = 2) -> DataFrame:
     Empty documents count 0; null ids are an empty block; empty files give none.
     """
     cut = files.filter("ids is not null and octet_length(ids) > 0").mapInArrow(_scan(end_id, wide), "file int, block int, size long, many long, last long, after array<long>")
-    sums = written(cut, "blocks")
+    scanned = written(cut, "blocks")
+    sums = scanned.drop("after")  # a file's blocks meet in one task by these few numbers alone
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begin = sums.withColumns({"begin": F.coalesce(F.sum("size").over(before), F.lit(0)), "ordinal": F.coalesce(F.sum("many").over(before), F.lit(0))})
     # where the document that is open at a block's first id began
-    open_ = begin.withColumn("open", F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(0)))
+    open_ = written(begin.withColumn("open", F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(0))).select("file", "block", "ordinal", "begin", "open"), "open")
+    open_ = scanned.select("file", "block", "many", "after").join(sized(open_), ["file", "block"])
     # a document begins after the separator before its own, the block's first one where it is open
     begins = F.when(F.col("many") > 0, F.concat(F.array("open"), F.transform(F.slice("after", F.lit(1), F.col("many").cast("int") - 1), lambda x: F.col("begin") + x)))
     each = open_.select("file", "ordinal", "begin", F.posexplode(F.arrays_zip(begins.alias("start"), F.col("after"))).alias("i", "at"))
@@ -114,6 +119,8 @@ def count_tokens(files: DataFrame, end_id: int, wide: int = 2) -> DataFrame:
 
 def document_tokens(docs: DataFrame, tokenizer: str, end_id: int, block: int = 1 << 16) -> DataFrame:
     """doc_id and n_tokens of every row, by way of flat files: file, ordinal,
-    start and ended come along. Rows that repeat are counted each."""
+    start and ended come along. Null and empty texts have 0 tokens; rows that repeat, in id or in
+    all, are counted each; a null id is kept; other columns are ignored; an empty
+    table gives no rows."""
     files, order = flat_files(docs, tokenizer, end_id, block)
     return count_tokens(files, end_id, ids_of(tokenizer).dtype.itemsize).join(order, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
