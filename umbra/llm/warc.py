@@ -82,26 +82,34 @@ def record_id(*parts: str | bytes) -> str:
 
 
 def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    """One record in the file format; Content-Length is set from the block."""
-    head = b"".join(f"{k}: {v}\r\n".encode("utf-8", "surrogatepass") for k, v in headers if k.lower() != "content-length")
+    """One record in the file format; Content-Length is set from the block, and line breaks in values become spaces."""
+    one_line = lambda v: re.sub(r"[\r\n]+", " ", v)  # noqa: E731 - a break in a value would begin another header
+    head = b"".join(f"{k}: {one_line(v)}\r\n".encode("utf-8", "surrogatepass") for k, v in headers if k.lower() != "content-length")
     return VERSION + b"\r\n" + head + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a plain WARC file: headers (names as written) and block."""
+    """Records of a plain WARC file: headers (names as written) and block. A last
+    record that is cut off is left out."""
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")[1:]
         headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int({k.lower(): v for k, v in headers.items()}.get("content-length", 0))
+        if end + 4 + size > len(data):
+            return
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Response records of crawled pages: page_id, record_id, target_uri, date,
-    http_headers and payload. Null address and page count as empty."""
+    http_headers and payload. Null address and page count as empty; a null id is
+    kept; rows that repeat give records that repeat; other columns are ignored;
+    an empty table gives none."""
     url, page = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (url_col, html_col))
     h = F.sha2(F.concat_ws("\0", F.lit("response"), url, F.coalesce(F.col(id_col).cast("string"), F.lit("")), page).cast("binary"), 256)
     uuid = F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
@@ -109,7 +117,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
     return pages.select(F.col(id_col).cast("long").alias("page_id"), uuid.alias("record_id"), url.alias("target_uri"), F.lit(date).alias("date"), head.alias("http_headers"), page.alias("payload"))
 
 
-DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, source_headers string, source_payload_digest string, block_digest string, content_length long, block string"
+DERIVED = "page_id long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, source_headers string, source_payload_digest string, block_digest string, content_length long, block string"
 
 
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +132,11 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     source.setdefault(name, []).append(value.strip())
                 of = digest(page.encode("utf-8", "surrogatepass"))
                 about = {"title": title(page), "links": links(page, uri), "status": head.split("\r\n", 1)[0], "headers": {k: v if len(v) > 1 else v[0] for k, v in source.items()}, "payload_digest": of, "payload_length": len(page.encode("utf-8", "surrogatepass"))}
-                for kind, mime, block in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", plain_text(page))):
-                    data = block.encode("utf-8", "surrogatepass")
-                    rows.append((r["page_id"], kind, record_id(kind, r["record_id"] or "", data), r["record_id"], uri, r["date"], mime, head, of, digest(data), len(data), block))
+                both = (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", plain_text(page)))
+                data = [block.encode("utf-8", "surrogatepass") for _, _, block in both]
+                own = [record_id(kind, r["record_id"] or "", d) for (kind, _, _), d in zip(both, data, strict=True)]
+                for i, (kind, mime, block) in enumerate(both):
+                    rows.append((r["page_id"], kind, own[i], r["record_id"], own[1 - i], uri, r["date"], mime, head, of, digest(data[i]), len(data[i]), block))
             columns = zip(*rows, strict=True)
             types = {"page_id": pa.int64(), "content_length": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns, strict=True)], names=names)
@@ -136,7 +146,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """The metadata and the conversion record of each response.
 
     records: as ``responses`` returns; further columns are ignored. refers_to is
-    the response's record_id and source_payload_digest its payload's digest;
+    the response's record_id, concurrent_to the other derivative's, and
+    source_payload_digest the payload's digest;
     source_headers are its HTTP headers as they came. Null payload counts as
     empty: its conversion has no text, and both records are still made. Rows
     that repeat give records that repeat; an empty table gives none. Record ids
@@ -147,13 +158,14 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 
 def files(derived: DataFrame) -> DataFrame:
-    """Each derived record in the file format, in ``warc`` (binary)."""
+    """Each derived record in the file format, in ``warc`` (binary), one row for
+    each; nulls are empty values; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"] or ""), ("WARC-Target-URI", r["target_uri"] or ""), ("WARC-Date", r["date"] or ""), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"])]
+                headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"] or ""), ("WARC-Concurrent-To", r["concurrent_to"]), ("WARC-Target-URI", r["target_uri"] or ""), ("WARC-Date", r["date"] or ""), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"])]
                 # the source's own digest and headers, the latter as a JSON string on one line
                 headers += [("WARC-Source-Payload-Digest", r["source_payload_digest"]), ("WARC-Source-Headers", json.dumps(r["source_headers"]))]
                 out.append(serialise(headers, r["block"].encode("utf-8", "surrogatepass")))
