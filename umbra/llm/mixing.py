@@ -111,10 +111,14 @@ def mix(
     first use) and ``place`` (from 0 to 1; reading by it meets the weights from
     the start), which replace columns of these names. A null source is a source;
     null text has the end alone; rows that repeat an id share their places in
-    the permutation and are kept or left together; an empty table gives no
+    the permutation and are kept or left together, and so do rows without an id
+    that repeat a text; an empty table gives no
     rows. Any number of sources keep weights of their own: the driver holds one
     entry for each different token total, at most about sqrt(2 x all tokens).
 
+    ``target_entropy`` alone doesn't bound repeats: a source of few tokens is
+    repeated as often as its weight asks; give ``max_repeats`` beside it.
+
     Only sums by (source, block) are shuffled; texts are only where there are
     more sources or blocks than a broadcast holds (``store.BROADCAST_ROWS``).
     """
@@ -123,7 +127,9 @@ def mix(
     names = docs.columns
     source = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     known = docs.withColumns({"tokens": (words if tokens is None else tokens).cast("long"), "mix_source": source})
-    counted = written(known.select("mix_source", F.col("doc_id").alias("mix_id"), "tokens"), "counts")
+    # rows without an id are told apart by their text, so that they aren't one block
+    mix_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit("no id")))
+    counted = written(known.select("mix_source", mix_id.alias("mix_id"), "tokens"), "counts")
     totals = written(counted.groupBy("mix_source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("whole")).filter("whole > 0"), "totals")
     sizes = totals.groupBy("whole").agg(F.count("*").alias("many")).orderBy("whole").collect()  # different totals only
     n, many = np.array([r["whole"] for r in sizes], float), np.array([r["many"] for r in sizes], float)
@@ -152,7 +158,7 @@ def mix(
     kept = inside.withColumn("mix_until", F.sum("tokens").over(own)).filter("mix_until - tokens < mix_left").groupBy("mix_source", "mix_block").agg(F.max("mix_in").alias("mix_most"))
     turns = turns.join(sized(written(kept, "kept")), ["mix_source", "mix_block"], "left").select("mix_source", "mix_block", "copy", "mix_start", "mix_size", F.when(last, F.coalesce("mix_most", F.lit(2.0))).otherwise(2.0).alias("mix_most"))
     turns = written(turns, "turns")
-    rows = known.withColumn("mix_id", F.col("doc_id")).join(plan, "mix_source").select("*", block, inner)
+    rows = known.withColumn("mix_id", mix_id).join(plan, "mix_source").select("*", block, inner)
     rows = rows.join(sized(turns), ["mix_source", "mix_block"]).filter("mix_in <= mix_most")
     place = (F.col("copy") * F.col("mix_whole") + F.col("mix_start") + F.col("mix_in") * F.col("mix_size")) / F.col("mix_part")
     return rows.select(*names, "tokens", "copy", place.alias("place"))
