@@ -11,7 +11,8 @@ from .store import BROADCAST_ROWS, spread_join, written
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node with a link.
 
-    links: pairs a, b of longs in any order; loops and repeats don't matter.
+    links: pairs a, b of longs in any order; loops and repeats don't matter, a
+    pair with a null isn't one, and other columns are ignored; no links give no rows.
     Each round a node's neighbours are linked to the smallest node next to it:
     large stars move larger neighbours, small stars the rest. Rounds grow with
     the logarithm of the longest chain; each is written to the shared folder,

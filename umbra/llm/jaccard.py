@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import mix64, shingle_sets, slices
+from .shingles import mix64, shingle_sets, slices, tidy
 from .store import shared, sized, spread_join, written
 
 #: Most shingles that are known as frequent, and the least count to be one.
@@ -47,6 +47,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
 def _sizes(width: int):
     """A row for each document, and for each shingle that many of a slice's documents share."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -76,6 +77,7 @@ def prefix_length(n, percent: int):
 def _first_rows(width: int):
     """Of rows that repeat an id, a task's first one of the id's class."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -106,6 +108,7 @@ def _deal(width: int, percent: int, many: int, frequent):
     """Shingles of each slice by bucket, as arrays; documents go to a bucket by
     their own hash with their size and the shingles that stay with them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = frequent.value
         for batch in batches:
@@ -180,6 +183,7 @@ def _count(many: int):
             at = home == k
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (node, gram, often, size, loose))], names=["bucket", "node", "gram", "often", "size", "loose"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             own, grams = [], []
@@ -212,6 +216,7 @@ def _count(many: int):
 def _prefixes(percent: int):
     """(gram, node, n, pos) of the prefix shingles that another document has too."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             node, often, size, loose = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("node", "often", "size", "loose"))
@@ -232,6 +237,7 @@ def _prefixes(percent: int):
 
 
 def _set_rows(width: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -273,6 +279,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _verify(percent: int):
     """Rows come by hub and block, the hub's own set (node null) first."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, x = None, None
         for batch in batches:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shingles import tidy
 from .store import written
 
 SEGMENT = 1 << 16
@@ -43,6 +44,7 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fill(bits: int, least: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
         for batch in batches:
@@ -102,6 +104,7 @@ def _suspected(keys: list[bytes], twice: np.ndarray) -> list[bytes]:
 
 
 def _suspects(twice, least: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
@@ -118,6 +121,7 @@ def _suspects(twice, least: int):
 
 
 def _by_text(twice, least: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
@@ -136,6 +140,7 @@ def _apply(schema: T.StructType, keep: str, shared=None):
     brings its own in the column ``repeated``."""
     names = schema.names
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_repeated = None if shared is None else shared.value
         for batch in batches:

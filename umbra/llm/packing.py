@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shingles import tidy
 from .store import sized, written
 from .tokens import ids_of
 
@@ -68,6 +69,7 @@ class Schedule:
 
 
 def _tokens(path: str, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, sums = ids_of(path), TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -118,6 +120,7 @@ def _pieces(schedule: Schedule, wide: int):
             names=["doc_id", "queue", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
         )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 500):

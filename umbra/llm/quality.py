@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shingles import mix64, slices, word_hashes
+from .shingles import mix64, slices, tidy, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "spaces", "line_ends", "commas", "stops", "exclaims", "bars", "symbols", "brackets", "quotes",
@@ -69,7 +69,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         row[col["log_lines"]] = np.log1p(len(cut))
         row[col["short_lines"]] = (size < 20).mean()
         for k, of in (("line_symbols", "symbols"), ("line_upper", "upper"), ("line_bars", "bars"), ("line_exclaims", "exclaims")):
-            row[col[k]] = (np.add.reduceat(_LUT[of][raw].astype(float), cut) / size.clip(20)).max()
+            row[col[k]] = (np.add.reduceat(_LUT[of][raw], cut, dtype=np.int64) / size.clip(20)).max()
     return out
 
 
@@ -136,6 +136,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate:
 
 
 def _measured(schema: T.StructType):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             x = statistics(batch.column("text"))
@@ -155,11 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
     """Learns from labelled rows that aren't held out: all of them, or the
     ``most_rows`` with the smallest hash of their id (a bounded sample). Labels
     other than 0 and 1, and rows without an id, aren't used; an id labelled both
-    ways is used both ways. Without rows of both labels every score is the prior."""
+    ways is used both ways, and rows that repeat an id are used once, with the
+    smallest text, so that the driver never holds more than twice ``most_rows``.
+    Null and empty texts are learned from too; other columns are ignored. Without
+    rows of both labels, or any rows, every score is the prior."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null").filter(~held_out())
     chosen = marked.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = named.join(F.broadcast(chosen), "doc_id").select("y", "text")
+    known = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("stats", T.ArrayType(T.DoubleType()))])
     rows = known.mapInArrow(_measured(schema), schema).toArrow()
     x = rows.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
@@ -175,6 +179,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
     docs = docs.withColumn("text", F.col("text").cast("string")).drop("score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             p = trees.score(statistics(batch.column("text")))

@@ -180,7 +180,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Data
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The input's columns with secrets replaced by ``mark`` in ``text``; overlapping spans are one."""
+    """The input's columns with secrets replaced by ``mark`` in ``text``; overlapping
+    spans are one. Null text stays null; empty texts and tables stay as they are."""
     found = find_secrets(docs, rules)
     put = F.aggregate(
         "secrets",

@@ -7,7 +7,9 @@ random odd factor per place in the word) and combined four at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,23 @@ def _at_place(place: np.ndarray) -> np.ndarray:
     return mix64((place.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives its free memory back at the end: a worker
+    lives on, and would keep what its largest task took."""
+
+    @wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return inner
+
+
 def slices(batch: pa.RecordBatch, most: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text; a longer text is a part alone."""
     size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
