@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bind import let
+from ..functions.bind import gathered, let
 from ..functions.kinds import KINDS, LEARNED
 from ..functions.patterns import SPANS, unicode
 
@@ -30,15 +30,13 @@ def _walked(hits: Column, gaps: Column, kind: str, rank: int) -> Column:
     """Places of hits from what stands between them. ``back`` is the end below 0:
     rows in natural order are by start, longer first, then by rank."""
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.octet_length(pair["gaps"])
-        return let(
-            F.struct(start.alias("start"), (-start - F.octet_length(pair["hits"])).alias("back"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), pair["hits"].alias("text")),
-            lambda x: F.struct((-x["back"]).alias("at"), F.concat(acc["out"], F.array(x)).alias("out")),
-        )
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.octet_length(pair["gaps"])
+        end = start + F.octet_length(pair["hits"])
+        return end, F.array(F.struct(start.alias("start"), (-end).alias("back"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), pair["hits"].alias("text")))
 
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gaps"), hits.alias("hits"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(RANKED).alias("out")), step, lambda acc: acc["out"])
+    return let(pairs, lambda p: gathered(p, F.lit(0), step, RANKED))
 
 
 def _found(text: Column, kind: str, pattern: str, rank: int, need: str | None = None) -> Column:
@@ -58,8 +56,12 @@ def _span(x: Column) -> Column:
 
 def _resolved(ranked: Column) -> Column:
     """Sorted by start, longer first; a span is kept if the last kept one has ended."""
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] <= x["start"]), F.concat(acc, F.array(_span(x)))).otherwise(acc)
-    return let(ranked, lambda r: F.when(F.size(r) <= 1, F.transform(r, _span)).otherwise(F.aggregate(F.sort_array(r), F.expr(EMPTY), step)))
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        free = x["start"] >= end
+        return F.when(free, -x["back"]).otherwise(end), F.when(free, F.array(_span(x))).otherwise(F.expr(EMPTY))
+
+    return let(ranked, lambda r: F.when(F.size(r) <= 1, F.transform(r, _span)).otherwise(let(F.sort_array(r), lambda o: gathered(o, F.lit(-(1 << 31)), step, f"array<{SPAN}>"))))
 
 
 def resolve(spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bind import let
+from ..functions.bind import gathered, let
 from ..functions.kinds import source_tag, wire
 from ..functions.patterns import PSEUDONYM, unicode
 from .detect import EMPTY
@@ -19,13 +19,14 @@ def splice(text: Column, cuts: Column) -> Column:
 
     def done(data: Column) -> Column:
         gap = lambda a, b: F.decode(F.substring(data, a + 1, b - a), "UTF-8")
-        none = F.array().cast("array<string>")
-        return F.aggregate(
-            cuts,
-            F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].cast("int").alias("at"), F.concat(acc["out"], F.array(gap(acc["at"], x["start"]), x["put"])).alias("out"))),
-            lambda acc: F.concat(F.array_join(acc["out"], ""), gap(acc["at"], F.octet_length(data))),
-        )
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            free = x["start"] >= at
+            return F.when(free, x["end"].cast("int")).otherwise(at), F.when(free, F.array(gap(at, x["start"]), x["put"])).otherwise(F.array().cast("array<string>"))
+
+        rest = F.array(F.struct(F.octet_length(data).alias("start"), F.octet_length(data).alias("end"), F.lit("").alias("put")))
+        bare = F.transform(cuts, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["put"].alias("put")))
+        return let(F.concat(bare, rest), lambda c: F.array_join(gathered(c, F.lit(0), step, "array<string>"), ""))
 
     return F.when(F.size(cuts) > 0, let(F.encode(text, "UTF-8"), done)).otherwise(text)
 
